@@ -7,12 +7,17 @@ text), so it runs inside the JVM and needs no shuffle.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, functions as F
 
 MAX_DEPTH = 6
-_ENTRY = "array<struct<key:string,value:variant>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _object(v: Column) -> Column:
@@ -20,37 +25,73 @@ def _object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _children(entry: Column) -> Column:
-    """One level of expansion of a (key, value) entry; scalars and ``{}`` stay as they are."""
-    inner = _object(entry["value"])
-    return F.when(
-        inner.isNotNull() & (F.size(inner) > 0),
-        F.transform(
-            F.map_entries(inner),
-            lambda e: F.struct(F.concat(entry["key"], F.lit("."), e["key"]).alias("key"), e["value"].alias("value")),
+def _expand(parent: Column) -> Column:
+    """Entries of an object under their full path; ``inner`` is their own map when they are objects."""
+    head = parent["key"]
+    return F.transform(
+        F.map_entries(parent["inner"]),
+        lambda e: F.struct(
+            F.when(head == "", e["key"]).otherwise(F.concat(head, F.lit("."), e["key"])).alias("key"),
+            e["value"].alias("value"),
+            _object(e["value"]).alias("inner"),
         ),
-    ).otherwise(F.array(F.struct(entry["key"].alias("key"), entry["value"].alias("value"))))
+    )
+
+
+def _is_leaf(entry: Column) -> Column:
+    return entry["inner"].isNull() | (F.size(entry["inner"]) == 0)
+
+
+def _bare(entry: Column) -> Column:
+    return F.struct(
+        entry["key"].alias("key"), F.coalesce(F.to_json(entry["value"]), F.lit("null")).alias("value")
+    )
 
 
 def leaf_entries(variant: Column, depth: int = MAX_DEPTH) -> Column:
-    """Array of (dotted path, variant) of an object variant; arrays stay one leaf.
+    """Array of (dotted path, JSON text) of an object variant, null for anything else.
 
-    Objects nested deeper than ``depth`` stay one leaf too.
+    Arrays stay one leaf, and so do objects nested deeper than ``depth``. Each round looks
+    into the objects the round before found.
     """
-    entries = F.map_entries(_object(variant))
-    for _ in range(depth - 1):
-        entries = F.flatten(F.transform(entries, _children))
-    return entries
+
+    def round_(state: Column, _: Column) -> Column:
+        return let(
+            F.flatten(F.transform(state["open"], _expand)),
+            lambda found: F.struct(
+                F.concat(state["leaves"], F.transform(F.filter(found, _is_leaf), _bare)).alias("leaves"),
+                F.filter(found, lambda e: ~_is_leaf(e)).alias("open"),
+            ),
+        )
+
+    def walk(inner: Column) -> Column:
+        root = F.struct(F.lit("").alias("key"), variant.alias("value"), inner.alias("inner"))
+        start = F.struct(
+            F.array().cast("array<struct<key:string,value:string>>").alias("leaves"), F.array(root).alias("open")
+        )
+        rounds = F.array(*[F.lit(i) for i in range(depth)])
+        done = F.aggregate(
+            rounds, start, round_, lambda s: F.concat(s["leaves"], F.transform(s["open"], _bare))
+        )
+        return F.when(inner.isNotNull(), done)
+
+    return let(_object(variant), walk)
 
 
 def unique_map(entries: Column) -> Column:
     """Map from (key, value) entries where the last duplicate of a key wins."""
-    keys = F.reverse(F.transform(entries, lambda e: e["key"]))
-    values = F.reverse(F.transform(entries, lambda e: e["value"]))
-    distinct = F.array_distinct(keys)
-    return F.map_from_arrays(
-        distinct, F.transform(distinct, lambda k: F.element_at(values, F.array_position(keys, k).cast("int")))
-    )
+
+    def build(latest_first: Column) -> Column:
+        return let(
+            F.transform(latest_first, lambda e: e["key"]),
+            lambda keys: F.map_from_entries(
+                F.when(F.size(F.array_distinct(keys)) == F.size(keys), latest_first).otherwise(
+                    F.filter(latest_first, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+                )
+            ),
+        )
+
+    return let(F.reverse(entries), build)
 
 
 def flatten(variant: Column, depth: int = MAX_DEPTH) -> Column:
@@ -58,11 +99,7 @@ def flatten(variant: Column, depth: int = MAX_DEPTH) -> Column:
 
     A nested path and a literal dotted key of the same spelling meet in one key.
     """
-    text = F.transform(
-        leaf_entries(variant, depth),
-        lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")),
-    )
-    return F.when(_object(variant).isNotNull(), unique_map(text))
+    return unique_map(leaf_entries(variant, depth))
 
 
 def to_leaf(value: Any) -> Column:
@@ -95,17 +132,20 @@ def exists_path(fields: Column, path: str) -> Column:
     return F.exists(F.map_keys(fields), lambda k: (k == F.lit(path)) | F.startswith(k, F.lit(path + ".")))
 
 
-def state_of(fields: Column, path: str) -> Column:
+def state_of(fields: Column, path: Column) -> Column:
     """``struct(exists, value)`` of a path; an object value is its JSON text."""
-    leaf = fields[path]
-    below = F.map_filter(fields, lambda k, _: F.startswith(k, F.lit(path + ".")))
-    skip = len(path) + 2
-    nested = F.transform(
-        F.map_entries(below),
-        lambda e: F.struct(F.substring(e["key"], F.lit(skip), F.length(e["key"])).alias("key"), e["value"].alias("value")),
-    )
-    value = F.when(F.map_contains_key(fields, path), leaf).when(F.size(below) > 0, _nest(nested))
-    return F.struct(value.isNotNull().alias("exists"), value.alias("value"))
+
+    def state(below: Column) -> Column:
+        nested = F.transform(
+            F.map_entries(below),
+            lambda e: F.struct(
+                F.substring(e["key"], F.length(path) + 2, F.length(e["key"])).alias("key"), e["value"].alias("value")
+            ),
+        )
+        value = F.when(F.map_contains_key(fields, path), fields[path]).when(F.size(below) > 0, _nest(nested))
+        return let(value, lambda v: F.struct(v.isNotNull().alias("exists"), v.alias("value")))
+
+    return let(F.map_filter(fields, lambda k, _: is_under(k, path)), state)
 
 
 def drop_paths(fields: Column, paths: list[str]) -> Column:
@@ -130,39 +170,40 @@ def _quote(text: Column) -> Column:
     return to_leaf(text)
 
 
+def _members(entries: Column) -> Column:
+    """Comma-joined ``"key":value`` text, by key."""
+    return F.array_join(
+        F.transform(F.array_sort(entries), lambda e: F.concat(to_leaf(e["key"]), F.lit(":"), e["value"])), ","
+    )
+
+
 def _nest(entries: Column, depth: int = MAX_DEPTH) -> Column:
     """JSON object text of (dotted key, JSON text) entries, folding the deepest level first."""
-    for level in range(depth, 0, -1):
-        entries = _fold_level(entries, level)
-    body = F.transform(F.array_sort(entries), lambda e: F.concat(_quote(e["key"]), F.lit(":"), e["value"]))
-    return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
+    levels = F.array(*[F.lit(level) for level in range(depth - 1, 0, -1)])
+    plain = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    top = F.aggregate(levels, plain, _fold_level)
+    return F.concat(F.lit("{"), _members(top), F.lit("}"))
 
 
-def _fold_level(entries: Column, level: int) -> Column:
+def _fold_level(entries: Column, level: Column) -> Column:
     """Merge keys with more than ``level`` segments into one object per ``level``-segment prefix."""
 
-    def prefix(key: Column) -> Column:
-        return F.substring_index(key, ".", level)
-
-    def deep(key: Column) -> Column:
-        return key != prefix(key)
-
-    flat = F.filter(entries, lambda e: ~deep(e["key"]))
-    nested = F.filter(entries, lambda e: deep(e["key"]))
-    heads = F.array_distinct(F.transform(nested, lambda e: prefix(e["key"])))
+    def prefix(entry: Column) -> Column:
+        return F.call_function("substring_index", entry["key"], F.lit("."), level)
 
     def fold(head: Column) -> Column:
-        members = F.filter(nested, lambda e: prefix(e["key"]) == head)
-        body = F.transform(
-            F.array_sort(members),
-            lambda e: F.concat(
-                _quote(F.substring(e["key"], F.length(head) + 2, F.length(e["key"]))), F.lit(":"), e["value"]
+        below = F.filter(entries, lambda e: is_under(e["key"], head))
+        tail = F.transform(
+            below,
+            lambda e: F.struct(
+                F.substring(e["key"], F.length(head) + 2, F.length(e["key"])).alias("key"), e["value"].alias("value")
             ),
         )
-        return F.struct(
-            head.alias("key"), F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")).alias("value")
-        )
+        return F.struct(head.alias("key"), F.concat(F.lit("{"), _members(tail), F.lit("}")).alias("value"))
 
+    flat = F.filter(entries, lambda e: e["key"] == prefix(e))
+    deep = F.filter(entries, lambda e: e["key"] != prefix(e))
+    heads = F.array_distinct(F.transform(deep, prefix))
     return F.concat(flat, F.transform(heads, fold))
 
 

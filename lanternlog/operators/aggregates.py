@@ -58,8 +58,8 @@ def alert_stats(alerts: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("total").alias("facet"), F.lit("all").alias("key"), F.lit(0).alias("sort")),
-                F.struct(F.lit("severity"), label, F.col("alert_severity")),
-                F.struct(F.lit("dataset"), F.col("event_dataset"), F.lit(0)),
+                F.struct(F.lit("severity").alias("facet"), label.alias("key"), F.col("alert_severity").alias("sort")),
+                F.struct(F.lit("dataset").alias("facet"), F.col("event_dataset").alias("key"), F.lit(0).alias("sort")),
             )
         ).alias("f"),
         "n",
@@ -119,7 +119,7 @@ def run_list(audit: DataFrame, limit: int = 50) -> DataFrame:
     value = F.explode(
         F.array(
             F.struct(F.lit("enrichment").alias("kind"), F.col("enrichment").alias("value")),
-            F.struct(F.lit("cluster"), F.col("cluster")),
+            F.struct(F.lit("cluster").alias("kind"), F.col("cluster").alias("value")),
         )
     )
     per_kind = (

@@ -83,9 +83,8 @@ def check_paths(paths: Sequence[str]) -> list[str]:
 def _before(paths: Sequence[str], ancestors: bool) -> Column:
     """State of each path, plus the scalar ancestors a set would replace."""
     fields = F.col("fields")
-    own = F.map_from_arrays(
-        F.array(*[F.lit(p) for p in paths]), F.array(*[leafs.state_of(fields, p) for p in paths])
-    ).cast(_BEFORE)
+    listed = F.array(*[F.lit(p) for p in paths])
+    own = F.map_from_arrays(listed, F.transform(listed, lambda p: leafs.state_of(fields, p))).cast(_BEFORE)
     if not ancestors:
         return own
     parents = sorted({p.rsplit(".", n)[0] for p in paths for n in range(1, p.count(".") + 1)} - set(paths))
@@ -196,29 +195,41 @@ def _kills(leaf: Column, op: Column, since: Column | None) -> Column:
     return (at_or_above & (op["seq"] > since)) | (below & F.coalesce(op["set_seq"] > since, F.lit(False)))
 
 
+def _touches(path: str):
+    return lambda op: _kills(F.lit(path), op, None)
+
+
 def _set_leaves(op: Column) -> Column:
     """Leaves a set writes: one for a plain value, one per leaf of an object value."""
-    entries = leafs.leaf_entries(F.try_parse_json(op["value"]), 2)
-    nested = F.transform(
-        entries,
-        lambda e: F.struct(
-            F.concat(op["path"], F.lit("."), e["key"]).alias("key"),
-            F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"),
-            op["seq"].alias("seq"),
-        ),
-    )
     plain = F.array(F.struct(op["path"].alias("key"), op["value"].alias("value"), op["seq"].alias("seq")))
-    return F.when(op["value"].startswith("{") & (F.size(entries) > 0), nested).otherwise(plain)
+
+    def nested(entries: Column) -> Column:
+        leaves = F.transform(
+            entries,
+            lambda e: F.struct(
+                F.concat(op["path"], F.lit("."), e["key"]).alias("key"),
+                e["value"].alias("value"),
+                op["seq"].alias("seq"),
+            ),
+        )
+        return F.when(F.size(entries) > 0, leaves).otherwise(plain)
+
+    objects = leafs.let(leafs.leaf_entries(F.try_parse_json(op["value"])), nested)
+    return F.when(op["value"].startswith("{"), objects).otherwise(plain)
 
 
 def patched_fields(fields: Column, ops: Column) -> Column:
     """Leaf map after the operations."""
-    kept = F.map_filter(fields, lambda k, _: ~F.exists(ops, lambda o: _kills(k, o, None)))
-    sets = F.filter(ops, lambda o: o["value"].isNotNull())
-    leaves = F.flatten(F.transform(sets, _set_leaves))
-    alive = F.filter(leaves, lambda leaf: ~F.exists(ops, lambda o: _kills(leaf["key"], o, leaf["seq"])))
-    added = leafs.unique_map(F.transform(alive, lambda a: F.struct(a["key"].alias("key"), a["value"].alias("value"))))
-    return F.map_concat(kept, added)
+
+    def rewrite(operations: Column) -> Column:
+        kept = F.map_filter(fields, lambda k, _: ~F.exists(operations, lambda o: _kills(k, o, None)))
+        sets = F.filter(operations, lambda o: o["value"].isNotNull())
+        leaves = F.flatten(F.transform(sets, _set_leaves))
+        alive = F.filter(leaves, lambda leaf: ~F.exists(operations, lambda o: _kills(leaf["key"], o, leaf["seq"])))
+        pairs = F.transform(alive, lambda a: F.struct(a["key"].alias("key"), a["value"].alias("value")))
+        return F.map_concat(kept, leafs.unique_map(pairs))
+
+    return leafs.let(ops, rewrite)
 
 
 def apply_patches(docs: DataFrame, log: DataFrame, promoted: bool = True) -> DataFrame:
@@ -242,9 +253,7 @@ def apply_patches(docs: DataFrame, log: DataFrame, promoted: bool = True) -> Dat
         if name == "fields":
             columns.append(F.col("_new").alias("fields"))
         elif promoted and path is not None:
-            touched = F.exists(
-                F.col("ops"), lambda o, p=path: _kills(F.lit(p), o, None)
-            )
+            touched = F.exists("ops", _touches(path))
             value = leafs.from_leaf(F.col("_new")[path], PROMOTED[path])
             columns.append(F.when(hit & touched, value).otherwise(F.col(name)).alias(name))
         else:

@@ -11,12 +11,12 @@ from lanternlog.plans.registry import millis, query
 from lanternlog.sources.bind import RULES_SQL, Tables, rule_lines
 
 
-def catalog_of(t: Tables, detections: DataFrame | None = None) -> V.Catalog:
+def catalog_of(t: Tables, detections: DataFrame | None = None, full: bool = False) -> V.Catalog:
     """Event documents as one dated dataset, and detections when given.
 
     The physical tables are the days the data has: a handful of names, read once.
     """
-    docs = t.docs()
+    docs = t.full_docs() if full else t.docs()
     catalog = V.Catalog()
     names = [r[0] for r in docs.select("_index").distinct().collect()]  # one name per day
     catalog.register("suricata", lambda: docs, lambda: sorted(names))

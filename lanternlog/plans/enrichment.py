@@ -20,7 +20,7 @@ def _run(n: int, name: str) -> Run:
 
 def _narrow(t: Tables) -> DataFrame:
     """Documents with the promoted columns the reports read, and all leaves."""
-    return t.docs().select("_index", "_id", "_day", TS, "event_dataset", "alert_severity", "destination_port",
+    return t.full_docs().select("_index", "_id", "_day", TS, "event_dataset", "alert_severity", "destination_port",
                            "network_transport", "rule_name", "fields")
 
 
@@ -133,7 +133,7 @@ def view_update(t: Tables) -> DataFrame:
     # A view is a target: every document is changed in its own table.
     from lanternlog.plans.catalog import catalog_of
 
-    catalog = catalog_of(t)
+    catalog = catalog_of(t, full=True)
     log = P.set_patch(catalog.read("soc-alerts"), None, {"seen": True}, _run(1, "seen"))
     state = P.apply_patches(_narrow(t), log)
     return state.where(_leaf("seen") == "true").groupBy("_index").agg(F.count(F.lit(1)).alias("flagged"))

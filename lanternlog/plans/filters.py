@@ -87,7 +87,7 @@ def filter_leaf_map(t: Tables) -> DataFrame:
             "must_not": [{"term": {"tags": "alert"}}],
         }
     }
-    return where(t.docs().select("_id", "fields"), clause).select("_id")
+    return where(t.full_docs().select("_id", "fields"), clause).select("_id")
 
 
 @query(
@@ -96,7 +96,7 @@ def filter_leaf_map(t: Tables) -> DataFrame:
 )
 def filter_dynamic_path(t: Tables) -> DataFrame:
     # Paths without a promoted column are found in the leaf map.
-    docs = t.docs().select("_id", "fields")
+    docs = t.full_docs().select("_id", "fields")
     clause = {
         "bool": {
             "must": [{"term": {"network.transport": "udp"}}, {"range": {"flow_id": {"gte": 0}}}],

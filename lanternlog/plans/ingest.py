@@ -41,7 +41,7 @@ def eve_lines(t: Tables) -> DataFrame:
     "eve_documents",
     _EVE_SQL
     + """
-    SELECT 'suricata-' || strftime(ts, '%Y.%m.%d') AS _index, epoch_ms(ts) AS ts_ms, user_id AS flow_id,
+    SELECT 'suricata-' || strftime(ts, '%Y.%m.%d') AS _index, epoch_us(ts) // 1000 AS ts_ms, user_id AS flow_id,
       'suricata.' || event_type AS event_dataset,
       CASE WHEN k % 10 <> 7 THEN CAST(1 + k % 4 AS INTEGER) END AS alert_severity,
       'SIG-' || CAST(k % 10 AS VARCHAR) AS alert_signature,
@@ -128,7 +128,7 @@ def json_ingest(t: Tables) -> DataFrame:
     "raw_ingest",
     """
     SELECT source AS file, count(*) AS docs, CAST(sum(length(m)) AS BIGINT) AS chars, count(DISTINCT now_ms) AS stamps,
-      max(now_ms) AS ts_ms FROM (SELECT source, regexp_replace(line, '\\s+$', '') AS m, (SELECT max(epoch_ms(ts)) FROM events) AS now_ms
+      max(now_ms) AS ts_ms FROM (SELECT source, regexp_replace(line, '\\s+$', '') AS m, (SELECT max(epoch_us(ts)) // 1000 FROM events) AS now_ms
       FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE m <> '' GROUP BY source
     """,
     docs=False,
@@ -325,8 +325,7 @@ def parse_gate(t: Tables) -> DataFrame:
     "ingest_quality",
     """
     SELECT count(*) AS total, count(*) FILTER (WHERE k % 20 = 0) AS errors, count(*) FILTER (WHERE k % 30 = 0) AS parse_errors,
-      floor(avg(CASE WHEN event_type = 'error' THEN 6 ELSE 4 END + CASE WHEN k >= 95 AND event_type = 'error' THEN 1 ELSE 0 END
-        - CASE WHEN event_type = 'error' THEN 0 ELSE 0 END) * 1000) / 1000 AS avg_fields FROM docs
+      floor(avg(CASE WHEN event_type <> 'error' THEN 5 WHEN k >= 95 THEN 8 ELSE 7 END) * 1000) / 1000 AS avg_fields FROM docs
     """,
 )
 def ingest_quality(t: Tables) -> DataFrame:
@@ -338,7 +337,7 @@ def ingest_quality(t: Tables) -> DataFrame:
         ),
         lambda _, v: v != "null",
     )
-    docs = t.docs().withColumn("fields", F.map_concat("fields", failures))
+    docs = t.full_docs().withColumn("fields", F.map_concat("fields", failures))
     report = quality.ingest_quality(docs)
     return report.withColumn("avg_fields", F.floor(F.col("avg_fields") * 1000) / 1000)
 

@@ -41,8 +41,13 @@ class Tables:
         return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def docs(self) -> DataFrame:
+        """Event documents with their promoted columns only."""
         return event_documents(self.table("events"))
 
+    def full_docs(self) -> DataFrame:
+        """Event documents with the leaf map as well."""
+        return with_leaves(self.docs())
+
     def now(self) -> Column:
         """Latest event time, as a scalar subquery."""
         return self.table("events").agg(F.max("ts")).scalar()
@@ -98,7 +103,12 @@ def event_documents(events: DataFrame) -> DataFrame:
         F.col("ts").alias(TS),
         *promoted,
     )
-    return docs.withColumn("fields", leaf_map(docs)).withColumn("_malformed", F.array().cast("array<string>"))
+    return docs
+
+
+def with_leaves(docs: DataFrame) -> DataFrame:
+    """Adds ``fields`` and ``_malformed`` to documents that were promoted without them."""
+    return docs.withColumns({"fields": leaf_map(docs), "_malformed": F.array().cast("array<string>")})
 
 
 def leaf_map(df: DataFrame) -> Column:
@@ -115,7 +125,7 @@ def leaf_map(df: DataFrame) -> Column:
 DOCS_SQL = """
 docs AS (
   SELECT 'suricata-' || strftime(ts, '%Y.%m.%d') AS _index, CAST(event_id AS VARCHAR) AS _id,
-    CAST(ts AS DATE) AS _day, ts, epoch_ms(ts) AS ts_ms, k, event_type,
+    CAST(ts AS DATE) AS _day, ts, epoch_us(ts) // 1000 AS ts_ms, k, event_type,
     CASE event_type WHEN 'error' THEN 'suricata.alert' WHEN 'click' THEN 'suricata.flow'
       WHEN 'view' THEN 'suricata.http' WHEN 'purchase' THEN 'suricata.dns'
       WHEN 'signup' THEN 'suricata.tls' END AS event_dataset,

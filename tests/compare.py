@@ -76,7 +76,7 @@ def check(spark, con, name: str, sf_dir: str) -> tuple[str, int, float]:
 def main() -> None:
     from lanternlog import session
 
-    spark = session.build("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = session.build("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                     "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("OFF")
     sf_dir = str(DATA / (sys.argv[1] if len(sys.argv) > 1 else "sf0.01"))
