@@ -11,6 +11,7 @@ from lanternlog.model import TS
 from lanternlog.operators import aggregates, patches as P, rollback as B
 from lanternlog.operators.patches import Run
 from lanternlog.plans.registry import query
+from lanternlog.session import work_dir
 from lanternlog.sources.bind import Tables
 
 
@@ -35,6 +36,13 @@ def _lower(docs: DataFrame) -> DataFrame:
     return P.set_patch(docs, web, {"risk.score": 10}, _run(2, "lower"))
 
 
+def _written(t: Tables, records: DataFrame) -> DataFrame:
+    """The records as a written table, the way a store keeps the log of a run."""
+    folder = work_dir(t.spark, "log")
+    records.write.parquet(folder)
+    return t.spark.read.schema(records.schema).parquet(folder)
+
+
 def _leaf(path: str, dtype: str = "string"):
     return from_leaf(F.col("fields")[path], dtype)
 
@@ -49,8 +57,8 @@ def _leaf(path: str, dtype: str = "string"):
 )
 def update_by_query(t: Tables) -> DataFrame:
     docs = _narrow(t)
-    log = _risk(docs)
-    log = log.unionByName(_lower(P.apply_patches(docs, log)))
+    log = _written(t, _risk(docs))
+    log = log.unionByName(_written(t, _lower(P.apply_patches(docs, log))))
     state = P.apply_patches(docs, log)
     return state.select("_id", _leaf("risk.score", "int").alias("score"), _leaf("risk.source").alias("source"))
 
@@ -155,7 +163,7 @@ def dry_run(t: Tables) -> DataFrame:
 )
 def audit_records(t: Tables) -> DataFrame:
     docs = _narrow(t)
-    log = _lower(P.apply_patches(docs, _risk(docs)))
+    log = _lower(P.apply_patches(docs, _written(t, _risk(docs))))
     return log.select(
         "doc_id", "index", "run_id", "operation", F.array_join("changed_fields", ",").alias("changed"),
         F.col("before")["risk.score"]["exists"].alias("existed"), F.col("before")["risk.score"]["value"].alias("before"),
@@ -166,8 +174,8 @@ def audit_records(t: Tables) -> DataFrame:
 @query(
     "run_summary",
     """
-    SELECT 'risk-1' AS run_id, 'risk' AS enrichment, 'lab' AS cluster, false AS dry_run, 0 AS docs_created,
-      count(*) AS docs_updated, 0 AS docs_deleted FROM docs WHERE event_dataset = 'suricata.alert'
+    SELECT 'risk-1' AS run_id, 'risk' AS enrichment, 'lab' AS cluster, false AS dry_run, CAST(0 AS BIGINT) AS docs_created,
+      count(*) AS docs_updated, CAST(0 AS BIGINT) AS docs_deleted FROM docs WHERE event_dataset = 'suricata.alert'
     """,
 )
 def run_summary(t: Tables) -> DataFrame:
@@ -295,12 +303,15 @@ def read_run(t: Tables) -> DataFrame:
 def rollback_state(t: Tables) -> DataFrame:
     # A run that sets, removes and overwrites is undone; the run before it stays.
     docs = _narrow(t)
-    log = _risk(docs)
+    log = _written(t, _risk(docs))
     second = _run(2, "lower")
     web = {"terms": {"destination.port": [80, 443]}}
-    one = P.set_patch(P.apply_patches(docs, log), web, {"risk.score": 10, "note": "x"}, second, 1)
-    log = log.unionByName(one)
-    log = log.unionByName(P.remove_patch(P.apply_patches(docs, log), web, ["network", "absent.path"], second, 2))
+    steps = [
+        lambda d: P.set_patch(d, web, {"risk.score": 10, "note": "x"}, second, 1),
+        lambda d: P.remove_patch(d, web, ["network", "absent.path"], second, 2),
+    ]
+    for step in steps:
+        log = log.unionByName(_written(t, step(P.apply_patches(docs, log))))
     log = log.unionByName(B.compensation(log, "lower-2", _run(3, "rollback")))
     state = P.apply_patches(docs, log)
     touched = F.col("destination_port").isin(80, 443) & ~F.map_contains_key("fields", "note")

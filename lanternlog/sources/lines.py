@@ -111,7 +111,7 @@ def drop_fields(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
     return df.withColumn("fields", drop_paths(F.col("fields"), SHIP_DROP if paths is None else paths))
 
 
-def promote(df: DataFrame, base: str, event_time: Column, doc_id: Column | None = None) -> DataFrame:
+def promote(df: DataFrame, base: str | Column, event_time: Column, doc_id: Column | None = None) -> DataFrame:
     """Leaf maps -> documents: typed columns, event day, and the names of malformed values.
 
     A value that does not fit its promoted type leaves the column null, stays in
@@ -139,7 +139,7 @@ def promote(df: DataFrame, base: str, event_time: Column, doc_id: Column | None
     docs = df.withColumns({**typed, TS: event_time})
     day = F.to_date(F.col(TS))
     return docs.select(
-        F.concat(F.lit(f"{base}-"), F.date_format(TS, "yyyy.MM.dd")).alias("_index"),
+        F.concat(F.lit(base) if isinstance(base, str) else base, F.lit("-"), F.date_format(TS, "yyyy.MM.dd")).alias("_index"),
         (F.uuid() if doc_id is None else doc_id).alias("_id"),
         day.alias("_day"),
         TS,
