@@ -105,7 +105,7 @@ def documents_of_files(
         docs = docs.withColumn("fields", F.map_concat(
             F.map_filter("fields", lambda k, _: k != "event.created"), F.create_map(F.lit("event.created"), created)))
         docs = docs.withColumn("stamp", now)
-    out = L.promote(docs.withColumns({"_base": base}), F.col("_base"), F.col("stamp"))
+    out = L.promote(docs.withColumns({"_base": base}), F.col("_base"), F.col("stamp"), keep=["file", "_base"])
     return out, plan
 
 
@@ -123,18 +123,15 @@ def ingest_files(
     docs, plan = documents_of_files(lines, options, stamp, pipelines)
     staged = work_dir(spark, "ingest")
     # Written once; datasets and counts are read from there.
-    docs.withColumn("_base", F.regexp_replace("_index", r"-\d{4}\.\d{2}\.\d{2}$", "")).write.partitionBy(
-        "_base"
-    ).parquet(f"{staged}/docs")
+    docs.write.partitionBy("_base").parquet(f"{staged}/docs")
     plan.write.parquet(f"{staged}/plan")
     parsed = spark.read.parquet(f"{staged}/docs")
     for base in sorted(r[0] for r in parsed.select("_base").distinct().collect()):  # dataset names
         store.write(parsed.where(F.col("_base") == base), base, options.mode)
     files = spark.read.parquet(f"{staged}/plan")
-    counts = parsed.groupBy("_base").agg(F.count(F.lit(1)).alias("docs"))
-    base = F.lit(options.base) if options.base else L.dataset_of_file(F.regexp_replace("file", r"\.(gz|zip)$", ""))
+    counts = parsed.groupBy("file").agg(F.count(F.lit(1)).alias("docs"))
     failed = F.col("strategy").startswith("error")
-    return files.withColumn("_base", base).join(counts, "_base", "left").select(
+    return files.join(counts, "file", "left").select(
         "file", "format", "strategy",
         F.when(failed, 0).otherwise(F.coalesce("docs", F.lit(0))).cast("bigint").alias("docs"),
         F.when(failed, F.col("strategy")).alias("error"),

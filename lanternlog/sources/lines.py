@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -111,11 +111,12 @@ def drop_fields(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
     return df.withColumn("fields", drop_paths(F.col("fields"), SHIP_DROP if paths is None else paths))
 
 
-def promote(df: DataFrame, base: str | Column, event_time: Column, doc_id: Column | None = None) -> DataFrame:
+def promote(df: DataFrame, base: str | Column, event_time: Column, doc_id: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Leaf maps -> documents: typed columns, event day, and the names of malformed values.
 
     A value that does not fit its promoted type leaves the column null, stays in
-    ``fields`` and is listed in ``_malformed``; the document is never dropped.
+    ``fields`` and is listed in ``_malformed``; the document is never dropped. Columns
+    named in ``keep`` pass through.
     """
     fields = F.col("fields")
     typed: dict[str, Column] = {}
@@ -146,6 +147,7 @@ def promote(df: DataFrame, base: str | Column, event_time: Column, doc_id: Colum
         *typed,
         "fields",
         F.filter(F.array(*checks), lambda p: p.isNotNull()).alias("_malformed"),
+        *keep,
     )
 
 
