@@ -125,7 +125,7 @@ def ingest_files(
     # Written once; datasets and counts are read from there.
     docs.write.partitionBy("_base").parquet(f"{staged}/docs")
     plan.write.parquet(f"{staged}/plan")
-    parsed = spark.read.parquet(f"{staged}/docs")
+    parsed = spark.read.schema(docs.schema).parquet(f"{staged}/docs")
     for base in sorted(r[0] for r in parsed.select("_base").distinct().collect()):  # dataset names
         store.write(parsed.where(F.col("_base") == base), base, options.mode)
     files = spark.read.parquet(f"{staged}/plan")

@@ -25,8 +25,9 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     without numbering them globally. Files whose name starts with a dot are skipped.
     """
     lines = spark.read.option("recursiveFileLookup", "false").text(path)
+    decoded = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = lines.select(
-        F.col("_metadata.file_path").alias("file"),
+        F.coalesce(decoded, F.col("_metadata.file_path")).alias("file"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
         ).alias("line_no"),

@@ -2,6 +2,7 @@
 
 ``docs/<base>/v<N>/_day=…``   documents; appends go to the newest version
 ``runs/run=<seq>/op=<n>/…``    patch records of one run
+``runs/run=<seq>/created/…``   documents that run created, until they are compacted
 ``_COMMITTED``                 marker written last; a folder without one is not read
 
 A marker is created only if absent, so a run or version is published exactly once
@@ -105,8 +106,19 @@ class Store:
             for name in self._names(folder):
                 if name.startswith("_day="):
                     out.setdefault(name[5:], []).append(folder)
+        for folder in self._created(base):
+            for name in self._names(folder):
+                if name.startswith("_day="):
+                    out.setdefault(name[5:], []).append(folder)
         return {d: f[-1] for d, f in out.items()}
 
+    def _created(self, base: str) -> list[str]:
+        """Folders of documents that runs created and no version holds yet."""
+        folded = max((note["folded"] for _, note in self._versions(base)), default=0)
+        return [
+            f"{path}/created/{base}" for seq, path, note in self._runs() if seq > folded and base in note.get("created", ())
+        ]
+
     def stored(self, base: str) -> DataFrame:
         """Documents as written, before any patch that is not folded in."""
         versions = self._versions(base)
@@ -120,6 +132,7 @@ class Store:
                 gone = set(note["replaces"])
                 visible = [(f, sorted(gone | set(h or ()))) for f, h in visible]
             visible.append((folder, None))
+        visible += [(folder, None) for folder in self._created(base)]
         parts = []
         for folder, hidden in visible:
             frame = self.spark.read.schema(document_ddl()).option("basePath", folder).parquet(folder)
@@ -181,6 +194,11 @@ class Store:
         target = f"{folder}/op={op_seq}"
         records.write.mode("overwrite").partitionBy("doc_day").parquet(target)
 
+    def add_created(self, docs: DataFrame, folder: str, base: str) -> None:
+        if not self._versions(base):
+            self.create(base)
+        self._write(docs, f"{folder}/created/{base}")
+
     def commit_run(self, folder: str, ops: Sequence[int], note: dict) -> None:
         days = {n[8:] for op in ops for n in self._names(f"{folder}/op={op}") if n.startswith("doc_day=")}
         self._publish(folder, {**note, "ops": list(ops), "days": sorted(days)})

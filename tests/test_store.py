@@ -139,6 +139,9 @@ def test_create_delete_and_missing(store):
     assert (out["docs_created"], out["docs_deleted"], out["docs_updated"]) == (1, 1, 0)
     assert sorted(state(store)) == ["2", "3", "9"]
     assert roll_back({"lab": store}, out["run_id"])["reverted"] == 0
+    assert store.compact("suricata") == 2
+    assert sorted(state(store)) == ["2", "3", "9"]
+    assert store.read("suricata").where("_index = 'suricata-2024.01.05'").count() == 1
 
 
 def test_dry_run_reads_but_never_writes(store):
