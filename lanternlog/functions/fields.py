@@ -106,8 +106,7 @@ def to_leaf(value: Any) -> Column:
     """JSON text of a Python value or of a column of any type (null -> ``null``)."""
     if not isinstance(value, Column):
         return F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
-    boxed = F.to_json(F.array(value))
-    return F.substring(boxed, F.lit(2), F.length(boxed) - 2)
+    return F.coalesce(F.to_json(value.cast("variant")), F.lit("null"))
 
 
 def from_leaf(leaf: Column, dtype: str = "string") -> Column:
@@ -124,7 +123,8 @@ def from_leaf(leaf: Column, dtype: str = "string") -> Column:
 
 def is_under(path: Column, ancestor: Column) -> Column:
     """``path`` lies strictly below ``ancestor``."""
-    return F.startswith(path, F.concat(ancestor, F.lit(".")))
+    # The prefix test alone turns down nearly every pair, without building a string.
+    return F.startswith(path, ancestor) & (F.substring(path, F.length(ancestor) + 1, F.lit(1)) == ".")
 
 
 def exists_path(fields: Column, path: str) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternlog.functions.fields import unique_map
+from lanternlog.functions.text import rstrip, strip
 from lanternlog.model import DATE_FORMATS, TS
 
 Step = Callable[[DataFrame], DataFrame]
@@ -54,7 +55,8 @@ def parse_cef(df: DataFrame, column: str = "line", now: Column | None = None, es
 
     The header split ignores backslash escapes unless ``escaped_pipes`` is set.
     """
-    line = F.regexp_replace(F.col(column), r"(?U)\s+$", "")
+    df = df.withColumn("_line", rstrip(F.col(column))).where(F.col("_line") != "")
+    line = F.col("_line")
     start = F.instr(line, "CEF:")
     body = F.substring(line, start, F.length(line))
     parts = F.split(body, r"(?<!\\)\|" if escaped_pipes else r"\|", 8)
@@ -62,21 +64,22 @@ def parse_cef(df: DataFrame, column: str = "line", now: Column | None = None, es
     version = F.trim(F.replace(parts[0], F.lit("CEF:"), F.lit("")))
     header = F.struct(*[(version if i == 0 else parts[i]).alias(n) for i, n in enumerate(_HEADER)])
     tail = F.try_element_at(parts, F.lit(8))
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(tail, F.lit(_EXTENSION), F.lit(1)).alias("key"),
-        F.transform(
-            F.regexp_extract_all(tail, F.lit(_EXTENSION), F.lit(2)),
-            lambda v: F.regexp_replace(F.replace(v, F.lit("\\="), F.lit("=")), r"(?U)^\s+|\s+$", ""),
-        ).alias("value"),
+    # One pass finds whole pairs; the key has no "=", so the first one splits them.
+    found = F.regexp_extract_all(tail, F.lit(_EXTENSION), F.lit(0))
+    pairs = F.transform(
+        found,
+        lambda p: F.struct(
+            F.substring_index(p, "=", 1).alias("key"),
+            strip(F.replace(F.substring(p, F.instr(p, "=") + 1, F.length(p)), F.lit("\\="), F.lit("="))).alias("value"),
+        ),
     )
-    pairs = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
     stamp = F.current_timestamp() if now is None else now
     return (
-        df.where(line != "")
-        .withColumn("cef", F.when(is_cef, header))
+        df.withColumn("cef", F.when(is_cef, header))
         .withColumn("extensions", F.when(is_cef & tail.isNotNull(), unique_map(pairs)))
         .withColumn("message", F.when(~is_cef, line))
         .withColumn(TS, F.when(is_cef, stamp))
+        .drop("_line")
     )
 
 

@@ -188,7 +188,7 @@ def last_operations(log: DataFrame) -> DataFrame:
 
 def _kills(leaf: Column, op: Column, since: Column | None) -> Column:
     """The operation removes a leaf written at ``since`` (stored leaves: None)."""
-    at_or_above = (leaf == op["path"]) | leafs.is_under(leaf, op["path"])
+    at_or_above = F.startswith(leaf, op["path"]) & ((leaf == op["path"]) | leafs.is_under(leaf, op["path"]))
     below = leafs.is_under(op["path"], leaf)
     if since is None:
         return at_or_above | (below & op["set_seq"].isNotNull())

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lanternlog.functions.fields import from_leaf
+from lanternlog.functions.text import blank, strip
 from lanternlog.model import BOOKKEEPING_KEYS
-from lanternlog.sources.lines import EMPTY
 
 HEAD_LINES = 400
 
 
 def service_line(line: Column) -> Column:
     """One service log line: structured ones become ``ts [LEVEL] message``, others stay."""
-    text = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    text = strip(line)
     body = F.try_parse_json(text)
     item = lambda key: F.try_variant_get(body, f"$['{key}']", "string")
     structured = text.startswith("{") & text.contains('"log.level"') & body.isNotNull()
@@ -26,7 +26,7 @@ def service_line(line: Column) -> Column:
 
 
 def normalize_service_logs(df: DataFrame, column: str = "line") -> DataFrame:
-    return df.where(~F.col(column).rlike(EMPTY)).withColumn(column, service_line(F.col(column)))
+    return df.where(~blank(F.col(column))).withColumn(column, service_line(F.col(column)))
 
 
 def representative_sample(lines: DataFrame, n: int = 24) -> DataFrame:
@@ -38,7 +38,7 @@ def representative_sample(lines: DataFrame, n: int = 24) -> DataFrame:
     """
     by_file = W.partitionBy("file")
     head = (
-        lines.where(~F.col("line").rlike(EMPTY))
+        lines.where(~blank(F.col("line")))
         .withColumn("rn", F.row_number().over(by_file.orderBy("line_no")))
         .where(f"rn <= {HEAD_LINES}")
     )

@@ -4,15 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lanternlog.functions.text import strip as _strip
 from lanternlog.model import RULE_ACTIONS
-
-_SPACE = r"(?U)^\s+|\s+$"
-
-
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, _SPACE, "")
-
-
 def _action(text: Column) -> Column:
     return F.regexp_extract(text, r"(?U)^\s*(\S+)", 1)
 

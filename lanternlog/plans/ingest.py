@@ -30,7 +30,7 @@ WITH e AS (
     docs=False,
 )
 def eve_lines(t: Tables) -> DataFrame:
-    parsed = L.parse_events(event_lines(t.table("events")))
+    parsed = L.parse_events(event_lines(t.lines("events")))
     return parsed.select(
         "event_id", "status", from_leaf(F.col("fields")["event.dataset"]).alias("dataset"),
         F.when(F.col("fields").isNotNull(), F.size("fields")).alias("leaves"),
@@ -51,7 +51,7 @@ def eve_lines(t: Tables) -> DataFrame:
     docs=False,
 )
 def eve_documents(t: Tables) -> DataFrame:
-    docs, _ = documents_of(event_lines(t.table("events")), "suricata", t.now())
+    docs, _ = documents_of(event_lines(t.lines("events")), "suricata", t.now())
     return docs.select(
         "_index", millis(), "flow_id", "event_dataset", "alert_severity", "alert_signature",
         F.array_join("_malformed", ",").alias("malformed"),
@@ -65,7 +65,7 @@ def eve_documents(t: Tables) -> DataFrame:
     docs=False,
 )
 def eve_quarantine(t: Tables) -> DataFrame:
-    _, bad = documents_of(event_lines(t.table("events")), "suricata", t.now())
+    _, bad = documents_of(event_lines(t.lines("events")), "suricata", t.now())
     return bad.groupBy("status").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -79,7 +79,7 @@ def eve_quarantine(t: Tables) -> DataFrame:
     docs=False,
 )
 def drop_fields(t: Tables) -> DataFrame:
-    parsed = L.parse_events(event_lines(t.table("events"))).where("status = 'event'")
+    parsed = L.parse_events(event_lines(t.lines("events"))).where("status = 'event'")
     kept = L.drop_fields(parsed)
     return kept.select("event_id", F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("paths"))
 
@@ -97,7 +97,7 @@ def drop_fields(t: Tables) -> DataFrame:
     docs=False,
 )
 def expand_documents(t: Tables) -> DataFrame:
-    parsed = L.parse_events(event_lines(t.table("events"))).where("status = 'event'")
+    parsed = L.parse_events(event_lines(t.lines("events"))).where("status = 'event'")
     trimmed = L.drop_fields(parsed, ["timestamp"])
     return trimmed.select("event_id", expand_fields(F.col("fields")).alias("body"))
 
@@ -120,7 +120,7 @@ def ship_constants(t: Tables) -> DataFrame:
     docs=False,
 )
 def json_ingest(t: Tables) -> DataFrame:
-    parsed = L.json_lines(event_lines(t.table("events")), "value")
+    parsed = L.json_lines(event_lines(t.lines("events")), "value")
     return parsed.groupBy("accepted").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -173,7 +173,7 @@ def slug(t: Tables) -> DataFrame:
 
 def _files(t: Tables) -> DataFrame:
     """One file per user: JSON, CEF, prose or numbers by user id."""
-    e = event_lines(t.table("events"))
+    e = event_lines(t.lines("events"))
     u, n = F.col("user_id"), F.col("event_id")
     line = (
         F.when(u % 4 == 0, F.col("value"))
@@ -234,7 +234,7 @@ def ingest_plan(t: Tables) -> DataFrame:
     docs=False,
 )
 def cef_parse(t: Tables) -> DataFrame:
-    parsed = parse.parse_cef(cef_lines(t.table("lineitem")), "line", t.now())
+    parsed = parse.parse_cef(cef_lines(t.lines("lineitem")), "line", t.now())
     return parsed.select(
         "l_orderkey", "l_linenumber", F.col("cef.version").alias("version"), F.col("cef.device_vendor").alias("vendor"),
         F.col("cef.device_product").alias("product"), F.col("cef.device_event_class_id").alias("class_id"),
@@ -258,7 +258,7 @@ _ORDER_PATTERN = r"^%{DATA:timestamp} \[%{WORD:level}\] cust %{NUMBER:cust:int}
     docs=False,
 )
 def grok_kv_date(t: Tables) -> DataFrame:
-    parsed = parse.text_log(order_lines(t.table("orders")), _ORDER_PATTERN)
+    parsed = parse.text_log(order_lines(t.lines("orders")), _ORDER_PATTERN)
     return parsed.select(
         "o_orderkey", millis(), "level", "cust", F.col("kv")["order"].alias("last_order"),
         F.col("kv")["status"].alias("status"), "parse_error",
@@ -316,7 +316,7 @@ def dispatch(t: Tables) -> DataFrame:
     docs=False,
 )
 def parse_gate(t: Tables) -> DataFrame:
-    parsed = parse.text_log(order_lines(t.table("orders")), _ORDER_PATTERN)
+    parsed = parse.text_log(order_lines(t.lines("orders")), _ORDER_PATTERN)
     found = F.when(F.col("parse_error").isNull(), 3 + F.size("kv")).otherwise(F.lit(0))
     return quality.parse_gate(parsed, found, F.col("parse_error").isNotNull())
 

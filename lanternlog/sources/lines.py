@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lanternlog.functions.fields import flatten, drop_paths
 from lanternlog.functions.projections import safe_base
+from lanternlog.functions.text import blank, rstrip, strip
 from lanternlog.model import PROMOTED, SHIP_CONSTANTS, SHIP_DROP, TS, column_of
 
-EMPTY = "^(?U)\\s*$"
-
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     """Lines of plain and gzip files: ``file``, ``line_no`` (sort key), ``line``.
@@ -87,17 +86,14 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     status is ``event`` for a JSON object, ``scalar`` for any other JSON value and
     ``text`` for the rest; only ``event`` lines have ``fields``.
     """
-    body = F.try_parse_json(F.col(column))
-    parsed = lines.where(~F.col(column).rlike(EMPTY)).withColumn("_body", body)
-    leaves = flatten(F.col("_body"))
-    return (
-        parsed.withColumn("fields", leaves)
-        .withColumn(
-            "status",
-            F.when(F.col("fields").isNotNull(), "event").when(F.col("_body").isNotNull(), "scalar").otherwise("text"),
-        )
-        .drop("_body")
+    text = F.col(column)
+    body = F.try_parse_json(text)
+    # The status comes from the text, so filtering on it does not flatten twice.
+    status = (
+        F.when(body.isNull(), "text").when(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), "event").otherwise("scalar")
     )
+    parsed = lines.where(~blank(text)).withColumn("status", status)
+    return parsed.withColumn("fields", F.when(F.col("status") == "event", flatten(body)))
 
 
 def with_constants(df: DataFrame, constants: dict[str, Any] | None = None) -> DataFrame:
@@ -157,17 +153,14 @@ def promote(df: DataFrame, base: str | Column, event_time: Column, doc_id: Colum
 
 def json_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """JSON-lines ingest: ``fields`` for accepted lines; ``accepted`` is false for the quarantine."""
-    text = F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", "")
-    parsed = lines.withColumn(column, text).where(F.col(column) != "")
-    return parsed.withColumn("fields", flatten(F.try_parse_json(F.col(column)))).withColumn(
-        "accepted", F.col("fields").isNotNull()
-    )
+    parsed = parse_events(lines.withColumn(column, strip(F.col(column))), column)
+    return parsed.withColumn("accepted", F.col("status") == "event").drop("status")
 
 
 def raw_lines(lines: DataFrame, now: dt.datetime | Column, column: str = "line") -> DataFrame:
     """Raw-line ingest: right-stripped non-blank lines as ``message``, one ingest time for all."""
     stamp = now if isinstance(now, Column) else F.lit(now)
-    stripped = lines.withColumn("message", F.regexp_replace(F.col(column), r"(?U)\s+$", ""))
+    stripped = lines.withColumn("message", rstrip(F.col(column)))
     return stripped.where(F.col("message") != "").withColumn(TS, stamp)
 
 
@@ -179,14 +172,13 @@ def detect_format(lines: DataFrame) -> DataFrame:
     a mergeable aggregate, so the size of a file does not matter.
     """
     order = W.partitionBy("file").orderBy("line_no")
-    blank = F.col("line").rlike(EMPTY)
     head = (
         lines.withColumn("_n", F.row_number().over(order))
         .where("_n <= 5")
         .groupBy("file")
         .agg(F.bool_or(F.col("line").rlike(r"CEF:[0-9]+\|")).alias("_cef"))
     )
-    first = lines.where(~blank).groupBy("file").agg(F.min_by("line", "line_no").alias("_first"))
+    first = lines.where(~blank(F.col("line"))).groupBy("file").agg(F.min_by("line", "line_no").alias("_first"))
     is_json = F.try_parse_json("_first").isNotNull()
     return head.join(first, "file", "left").select(
         "file", F.when(is_json, "json").when(F.col("_cef"), "cef").otherwise("other").alias("format")
