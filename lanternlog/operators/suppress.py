@@ -50,7 +50,9 @@ def suppress(
         raise ValueError("window must be positive")
     window = window_seconds * 1_000_000
     keyed = hits.withColumns({"key": key_of(F.col("query_key")), "us": F.unix_micros(TS)})
-    moments = keyed.groupBy(*_KEY, "us").agg(F.min(F.struct("event_index", "event_id")).alias("who"))
+    # Written once: what follows passes over the hits' instants several times, and the
+    # events behind them are far more than the hits.
+    moments = checkpointed(keyed.groupBy(*_KEY, "us").agg(F.min(F.struct("event_index", "event_id")).alias("who")))
     kept = kept_moments(moments.select(*_KEY, "us"), window, state, limits)
     chosen = moments.join(kept, [*_KEY, "us"], "left_semi").select(
         *_KEY, "us", F.col("who.event_index").alias("event_index"), F.col("who.event_id").alias("event_id")
