@@ -106,7 +106,7 @@ rules AS (SELECT file, line_no, source, 'Rule ' || CAST(line_no % 100 AS VARCHAR
 
 @query("rule_catalog", _CATALOG_SQL + "SELECT * FROM rules", docs=False)
 def rule_catalog(t: Tables) -> DataFrame:
-    return R.catalog(rule_lines(t.table("events")))
+    return R.catalog(rule_lines(t.lines("events")))
 
 
 @query(
@@ -121,7 +121,7 @@ def rule_catalog(t: Tables) -> DataFrame:
     docs=False,
 )
 def rule_search(t: Tables) -> DataFrame:
-    found, more = R.search_rules(R.catalog(rule_lines(t.table("events"))), "RULE 4", source="local", limit=50)
+    found, more = R.search_rules(R.catalog(rule_lines(t.lines("events"))), "RULE 4", source="local", limit=50)
     return found.select("file", "line_no", "name", "sid", "status", more.scalar().alias("truncated"))
 
 
@@ -138,7 +138,7 @@ def rule_search(t: Tables) -> DataFrame:
     docs=False,
 )
 def rule_counts(t: Tables) -> DataFrame:
-    return R.rule_counts(rule_lines(t.table("events")))
+    return R.rule_counts(rule_lines(t.lines("events")))
 
 
 @query(
@@ -150,7 +150,7 @@ def rule_counts(t: Tables) -> DataFrame:
     """,
 )
 def rule_hits(t: Tables) -> DataFrame:
-    hits = R.rule_hits(R.catalog(rule_lines(t.table("events"))), t.docs())
+    hits = R.rule_hits(R.catalog(rule_lines(t.lines("events"))), t.docs())
     return hits.select("file", "line_no", "sid", "status", "hits")
 
 
