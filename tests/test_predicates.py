@@ -124,7 +124,7 @@ def test_per_file_heads_are_cut_before_the_shuffle(spark):
     from lanternlog.operators.quality import representative_sample
     from lanternlog.sources.lines import detect_format
 
-    df = spark.range(10).selectExpr("id % 2 as file", "id as line_no", "cast(id as string) as line")
+    df = spark.range(5000).selectExpr("id % 2 as file", "id as line_no", "cast(id as string) as line")
     for plan in (tail_lines(df, 3), representative_sample(df), detect_format(df)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"WindowGroupLimit.*Partial", text), text
