@@ -90,7 +90,7 @@ class Store:
         self._write(docs, versions[-1][0])
 
     def _write(self, docs: DataFrame, folder: str) -> None:
-        docs.select(*self._columns()).write.mode("append").partitionBy("_day").parquet(folder)
+        by_day(docs.select(*self._columns()), "_day").write.mode("append").partitionBy("_day").parquet(folder)
 
     def _columns(self) -> list[str]:
         return self.spark.createDataFrame([], document_ddl()).columns
@@ -192,7 +192,7 @@ class Store:
     def append_op(self, records: DataFrame, folder: str, op_seq: int) -> None:
         """Write one operation of an open run, split by document day for later pruning."""
         target = f"{folder}/op={op_seq}"
-        records.write.mode("overwrite").partitionBy("doc_day").parquet(target)
+        by_day(records, "doc_day").write.mode("overwrite").partitionBy("doc_day").parquet(target)
 
     def add_created(self, docs: DataFrame, folder: str, base: str) -> None:
         if not self._versions(base):
@@ -238,5 +238,14 @@ class Store:
         self._publish(folder, {"replaces": "all", "folded": self.last_run()})
 
 
+def by_day(df: DataFrame, day: str) -> DataFrame:
+    """Bring the rows of a day together before a write, in pieces of the advisory size.
+
+    Without it every task writes a file for every day it holds. Adaptive execution splits
+    a day that is larger than a piece and merges small ones.
+    """
+    return df.hint("rebalance", F.col(day))
+
+
 def event_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("_index").agg(F.count(F.lit(1)).alias("docs"), F.max(TS).alias("last_event"))

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from lanternlog.model import TS
 from lanternlog.operators.parse import date_value
 from lanternlog.sources.lines import parse_events, promote
+from lanternlog.sources.store import by_day
 
 
 def documents_of(lines: DataFrame, base: str, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,7 @@ def land(lines: DataFrame, base: str, target: str, checkpoint: str) -> DataStrea
 
     def write(batch: DataFrame, batch_id: int) -> None:
         docs, bad = documents_of(batch, base)
-        docs.write.mode("overwrite").partitionBy("_day").parquet(f"{target}/documents/batch={batch_id}")
+        by_day(docs, "_day").write.mode("overwrite").partitionBy("_day").parquet(f"{target}/documents/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
