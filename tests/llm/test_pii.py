@@ -1,0 +1,68 @@
+import random
+import re
+
+from hypothesis import given, settings, strategies as st
+
+from lanternlog.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    """The contract's patterns as they are written."""
+    n_digits = lambda s: sum("0" <= c <= "9" for c in s)
+    digits = lambda s: [int(c) for c in s if "0" <= c <= "9"]
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        d = digits(m[0])[::-1]
+        check = sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(d))
+        if 13 <= len(d) <= 19 and check % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= n_digits(m[0]) <= 15]
+    return out
+
+
+def base(text):
+    return [(s.kind, s.start, s.end) for s in pii.find(text) if s.kind in pii.BASE]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a@.-+ 1290()%é4", max_size=40))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert base(text) == brute(text)
+
+
+def test_numbers_and_addresses():
+    rng = random.Random(1)
+    parts = ["4111 1111 1111 1111", "4111-1111-1111-1112", "10.0.0.256", "1.2.3.4.5.6.7.8", "+1 (743) 555-3824", "x.19@mail5.example.com.", "a@b", "a@b.c@d.e", "@x.y"]
+    for _ in range(300):
+        text = " é ".join(rng.choices(parts, k=6))
+        assert base(text) == brute(text)
+
+
+def test_added_kinds_need_a_checksum_or_context():
+    kinds = lambda t: [s.kind for s in pii.find(t)]
+    assert kinds("GB82 WEST 1234 5698 7654 32") == ["iban"]
+    assert kinds("GB83 WEST 1234 5698 7654 32") == []
+    assert kinds("ssn 536-90-4399") == ["national_id"]
+    assert kinds("part 536-90-4399") == []
+    assert kinds('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"') == ["secret"]
+
+
+def test_long_runs_are_linear():
+    for text in ("a" * 400_000, "1" * 400_000, "+1" + "(" * 400_000, "a@" * 100_000, "1." * 200_000):
+        pii.find(text)
+
+
+def test_report_and_redaction(spark):
+    rows = [(1, "mail x@y.com now", "en", 9), (2, None, None, None), (None, "", "en", 0), (1, "mail x@y.com now", "en", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars bigint")
+    got = sorted((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in pii.report(docs.withColumn("spans", docs.lang)).collect())
+    assert got == [(0, 0, ""), (1, 1, "email:5:12"), (1, 1, "email:5:12"), (2, 0, "")]
+    out = {r["doc_id"]: tuple(r) for r in pii.redact(docs).collect()}
+    assert out[1] == (1, "mail [EMAIL] now", "en", 16) and out[2] == (2, None, None, 0)
+    assert pii.report(docs.limit(0)).count() == 0
