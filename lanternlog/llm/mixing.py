@@ -54,7 +54,7 @@ def budgets(leaves: DataFrame, budget_parts: int, max_epochs: int, weights: Sequ
     for level in range(len(LEVELS)):
         leaves = leaves.withColumn(f"w{level}", _weight(level, weights))
     leaves = leaves.withColumn("cap", F.when(F.least("w0", "w1", "w2") > 0, F.col("tokens") * max_epochs).otherwise(0))
-    total = leaves.agg(F.floor(F.sum("tokens") / budget_parts).cast("bigint").alias("want"), F.sum("cap").alias("cap"))
+    total = leaves.agg(F.expr(f"sum(tokens) div {int(budget_parts)}").alias("want"), F.sum("cap").alias("cap"))
     given = total.select(F.coalesce(F.least("want", "cap"), F.lit(0)).alias("given"))
     node = given.withColumn("_all", F.lit(1))
     for level in range(len(LEVELS)):
@@ -79,7 +79,7 @@ def _share(children: DataFrame, up: list[str], name: str) -> DataFrame:
     first = F.min(F.when(~F.col("_full"), F.struct(F.col("cap") / F.col("w"), name, "_rest", "_w"))).over(whole)
     ranked = ranked.withColumn("_at", first)
     part = F.expr("(w * _at._rest) div _at._w")
-    return ranked.select(*up, name, F.when("_full", F.col("cap")).otherwise(part).cast("bigint").alias("given"))
+    return ranked.select(*up, name, F.when(F.col("_full"), F.col("cap")).otherwise(part).cast("bigint").alias("given"))
 
 
 def mix(

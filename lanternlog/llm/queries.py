@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternlog.llm import decontaminate, pii, quality
+from lanternlog.llm import ctw, decontaminate, licenses, mixing, neighbours, pii, quality, token_counts
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -69,3 +70,95 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op3_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(_table(spark, sf_dir, "embeddings"))
+
+
+_UNIT = """
+SELECT doc_id, 0 AS kind, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, 1, unnest(string_split_regex(text, '\\n[ \\t\\r\\x0B\\f]*\\n')) FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, 2, text FROM documents WHERE text IS NOT NULL
+"""
+_OP8_WORDS = _OP1_WORDS.replace("text", "unit")
+
+
+def _op8_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t AS (SELECT license, {pairs} AS p FROM (SELECT license, {_OP8_WORDS} AS w FROM (VALUES {rows}) AS v(license, unit))),
+u AS (SELECT doc_id, kind, {pairs} AS p FROM (SELECT doc_id, kind, {_OP8_WORDS} AS w FROM ({_UNIT}))),
+m AS (
+  SELECT doc_id, license, kind, 2.0::DOUBLE * len(list_intersect(u.p, t.p)) / (len(u.p) + len(t.p)) AS dice
+  FROM u JOIN t ON list_has_any(u.p, t.p)),
+b AS (
+  SELECT doc_id, license, dice, kind,
+    row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, kind) AS k FROM m WHERE dice >= {licenses.THRESHOLD})
+SELECT doc_id, license, dice, CASE kind WHEN 0 THEN 'line' WHEN 1 THEN 'paragraph' ELSE 'text' END AS passage FROM b WHERE k = 1
+"""
+
+
+@_query("op8_licenses", _op8_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    weight = lambda level: "CASE {} {} ELSE 1 END".format(
+        mixing.LEVELS[level], " ".join(f"WHEN '{k}' THEN {v}" for k, v in mixing.WEIGHTS[level].items()) or "WHEN NULL THEN 1"
+    )
+    number = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
+    sql = f"""
+WITH counted AS (
+  SELECT doc_id, CASE WHEN {number} = '' THEN 'other' ELSE 'domain' || CAST(CAST({number} AS INT) % 4 AS VARCHAR) END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS BIGINT) AS n_tokens
+  FROM documents WHERE text IS NOT NULL),
+leaves AS (
+  SELECT *, tokens * {mixing.MAX_EPOCHS} AS cap, {weight(0)} AS w0, {weight(1)} AS w1, {weight(2)} AS w2
+  FROM (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM counted WHERE n_tokens > 0 GROUP BY ALL)),
+n0 AS (SELECT CAST(least(sum(tokens) // {mixing.BUDGET_PARTS}, sum(cap)) AS BIGINT) AS given, 1 AS one FROM leaves)"""
+    for level, name in enumerate(mixing.LEVELS):
+        up = ", ".join(["one", *mixing.LEVELS[:level]])
+        sql += f""",
+c{level} AS (SELECT 1 AS one, {", ".join(mixing.LEVELS[: level + 1])}, CAST(sum(cap) AS BIGINT) AS cap, max(w{level}) AS w FROM leaves GROUP BY ALL),
+r{level} AS (
+  SELECT c{level}.*, given - coalesce(sum(cap) OVER (PARTITION BY {up} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (PARTITION BY {up} ORDER BY cap / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ww
+  FROM c{level} JOIN n{level} USING ({up})),
+f{level} AS (SELECT *, cap * ww <= w * rest AS whole FROM r{level}),
+n{level + 1} AS (
+  SELECT {up}, {name}, CAST(CASE WHEN whole THEN cap ELSE
+    (w * first_value(rest) OVER (PARTITION BY {up} ORDER BY whole, cap / w, {name}))
+    // first_value(ww) OVER (PARTITION BY {up} ORDER BY whole, cap / w, {name}) END AS BIGINT) AS given FROM f{level})"""
+    return sql + f""",
+drawn AS (
+  SELECT counted.*, given // tokens AS epochs, given % tokens AS rest,
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source
+      ORDER BY md5('{mixing.SEED}:' || CAST(given // tokens AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens
+      ROWS UNBOUNDED PRECEDING) AS upto
+  FROM counted JOIN leaves USING (domain, lang, source) JOIN n3 USING (domain, lang, source) WHERE n_tokens > 0 AND given > 0)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM drawn WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
+@_query("op9_mixing", _op9_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@_query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(_table(spark, sf_dir, "documents"), Path(VOCABULARY).read_bytes())
+
+
+@_query("op5_ctw")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.report(_table(spark, sf_dir, "documents"))
