@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternlog.llm import ctw, decontaminate, licenses, mixing, neighbours, pii, quality, token_counts
+from lanternlog.llm import ctw, decontaminate, jaccard_join, licenses, mixing, neighbours, pii, quality, suffix_dedup, token_counts
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -62,6 +62,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("longest")
 
 
+_OP2_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS k FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS root, doc_id AS node FROM w UNION SELECT root, e.b FROM reach JOIN e ON e.a = node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN reach ON node = w.doc_id GROUP BY ALL
+"""
+
+
 @_query("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
@@ -162,3 +179,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_ctw")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_jaccard_join", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
