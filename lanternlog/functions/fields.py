@@ -12,8 +12,6 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F
 
-MAX_DEPTH = 6
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
@@ -48,11 +46,18 @@ def _bare(entry: Column) -> Column:
     )
 
 
-def leaf_entries(variant: Column, depth: int = MAX_DEPTH) -> Column:
+def _rounds(text: Column) -> Column:
+    """As many rounds as a document may need: its text opens no object more often than it has braces."""
+    braces = F.length(text) - F.length(F.translate(text, "{", ""))
+    return F.sequence(F.lit(1), F.greatest(braces, F.lit(1)))
+
+
+def leaf_entries(variant: Column, text: Column | None = None) -> Column:
     """Array of (dotted path, JSON text) of an object variant, null for anything else.
 
-    Arrays stay one leaf, and so do objects nested deeper than ``depth``. Each round looks
-    into the objects the round before found.
+    Arrays stay one leaf. Each round looks into the objects the round before found, and the
+    rounds are counted from the document's own ``text`` (rendered anew if it is not given),
+    so objects are followed however deep they lie.
     """
 
     def round_(state: Column, _: Column) -> Column:
@@ -69,9 +74,8 @@ def leaf_entries(variant: Column, depth: int = MAX_DEPTH) -> Column:
         start = F.struct(
             F.array().cast("array<struct<key:string,value:string>>").alias("leaves"), F.array(root).alias("open")
         )
-        rounds = F.array(*[F.lit(i) for i in range(depth)])
         done = F.aggregate(
-            rounds, start, round_, lambda s: F.concat(s["leaves"], F.transform(s["open"], _bare))
+            _rounds(F.to_json(variant) if text is None else text), start, round_, lambda s: F.concat(s["leaves"], F.transform(s["open"], _bare))
         )
         return F.when(inner.isNotNull(), done)
 
@@ -94,12 +98,12 @@ def unique_map(entries: Column) -> Column:
     return let(F.reverse(entries), build)
 
 
-def flatten(variant: Column, depth: int = MAX_DEPTH) -> Column:
+def flatten(variant: Column, text: Column | None = None) -> Column:
     """Object variant -> map of dotted path to JSON text; null for a non-object.
 
     A nested path and a literal dotted key of the same spelling meet in one key.
     """
-    return unique_map(leaf_entries(variant, depth))
+    return unique_map(leaf_entries(variant, text))
 
 
 def to_leaf(value: Any) -> Column:
@@ -127,11 +131,6 @@ def is_under(path: Column, ancestor: Column) -> Column:
     return F.startswith(path, ancestor) & (F.substring(path, F.length(ancestor) + 1, F.lit(1)) == ".")
 
 
-def exists_path(fields: Column, path: str) -> Column:
-    """A path is present: it is a leaf (a null value counts) or an object above one."""
-    return F.exists(F.map_keys(fields), lambda k: (k == F.lit(path)) | F.startswith(k, F.lit(path + ".")))
-
-
 def state_of(fields: Column, path: Column) -> Column:
     """``struct(exists, value)`` of a path; an object value is its JSON text."""
 
@@ -177,9 +176,11 @@ def _members(entries: Column) -> Column:
     )
 
 
-def _nest(entries: Column, depth: int = MAX_DEPTH) -> Column:
+def _nest(entries: Column) -> Column:
     """JSON object text of (dotted key, JSON text) entries, folding the deepest level first."""
-    levels = F.array(*[F.lit(level) for level in range(depth - 1, 0, -1)])
+    dots = F.transform(entries, lambda e: F.length(e["key"]) - F.length(F.translate(e["key"], ".", "")))
+    deepest = F.coalesce(F.array_max(dots), F.lit(0))
+    levels = F.when(deepest > 0, F.sequence(deepest, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     plain = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     top = F.aggregate(levels, plain, _fold_level)
     return F.concat(F.lit("{"), _members(top), F.lit("}"))
@@ -207,6 +208,6 @@ def _fold_level(entries: Column, level: Column) -> Column:
     return F.concat(flat, F.transform(heads, fold))
 
 
-def expand_fields(fields: Column, depth: int = MAX_DEPTH) -> Column:
+def expand_fields(fields: Column) -> Column:
     """Dotted leaf map -> nested JSON object text; used where documents leave the system."""
-    return _nest(F.map_entries(fields), depth)
+    return _nest(F.map_entries(fields))

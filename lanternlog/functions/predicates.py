@@ -182,8 +182,24 @@ def _equals(path: str, value: Any, fields: Fields) -> Column:
     if array is not None:
         return F.array_contains(array, str(value) if not isinstance(value, bool) else str(value).lower())
     if fields.promoted(path) is None:
-        return fields.column(path) == F.lit(str(value).lower() if isinstance(value, bool) else str(value))
-    return fields.column(path) == F.lit(value)
+        text = fields.column(path) == F.lit(str(value).lower() if isinstance(value, bool) else str(value))
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return text | F.coalesce(fields.column(path).try_cast("double") == F.lit(float(value)), F.lit(False))
+        return text
+    return fields.column(path) == F.lit(_fitting(value, path, fields))
+
+
+def _fitting(value: Any, path: str, fields: Fields) -> Any:
+    """The literal in the type of its typed column, so that no row can fail on the comparison."""
+    kind = str(fields.types.get(fields.promoted(path) or "", ""))
+    if kind.startswith(("Integer", "Long", "Short", "Double")) and isinstance(value, (str, bool)):
+        try:
+            return float(value) if kind.startswith("Double") else int(value)
+        except ValueError:
+            raise ValueError(f"{value!r} is no number, {path!r} holds numbers") from None
+    if kind.startswith("String") and not isinstance(value, str):
+        return str(value).lower() if isinstance(value, bool) else str(value)
+    return value
 
 
 def _term(body: dict[str, Any], fields: Fields, now: Column) -> Column:
@@ -198,19 +214,29 @@ def _terms(body: dict[str, Any], fields: Fields, now: Column) -> Column:
     array = fields.values(path)
     if array is not None:
         return F.arrays_overlap(array, F.array(*[F.lit(str(v)) for v in values]))
-    return fields.column(path).isin(list(values))
+    if fields.promoted(path) is None:
+        return functools.reduce(lambda a, b: a | b, [_equals(path, v, fields) for v in values], F.lit(False))
+    return fields.column(path).isin([_fitting(v, path, fields) for v in values])
 
 
 def _range(body: dict[str, Any], fields: Fields, now: Column) -> Column:
     path, bounds = _one(body)
     column = fields.column(path)
+    dynamic = fields.promoted(path) is None
     timed = path == TS or str(fields.types.get(fields.promoted(path) or "", "")).startswith("Timestamp")
     tests: list[Column] = []
     for op, value in bounds.items():
-        edge = parse_date_math(value, now) if timed and isinstance(value, str) else _literal(value)
-        if not timed and fields.promoted(path) is None:
-            column = column.try_cast("double") if not isinstance(value, str) else column
-        tests.append(_compare(column, op, edge))
+        # a dynamic path has no type of its own: the bound says what it is compared as
+        kind = _bound_kind(value) if dynamic else "time" if timed and isinstance(value, str) else "plain"
+        if kind == "time":
+            edge = parse_date_math(value, now)
+            tests.append(_compare(column.try_cast("timestamp") if dynamic else column, op, edge))
+        elif kind == "number":
+            edge = F.lit(float(value))
+            tests.append(_compare(column.try_cast("double"), op, edge))
+        else:
+            edge = _literal(value if dynamic or timed else _fitting(value, path, fields))
+            tests.append(_compare(column, op, edge))
         if path == TS and "_day" in fields.types:
             # Catalyst cannot infer the partition bound from the event-time bound.
             day = F.col("_day")
@@ -220,6 +246,24 @@ def _range(body: dict[str, Any], fields: Fields, now: Column) -> Column:
     return functools.reduce(lambda a, b: a & b, tests)
 
 
+def _bound_kind(value: Any) -> str:
+    """What a bound on a dynamic path means: a ``number``, a ``time`` or ``plain`` text."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        return "plain"
+    try:
+        float(value)
+        return "number"
+    except ValueError:
+        pass
+    if re.match(r"now([+-]|$)", value):
+        return "time"
+    try:
+        _instant(value)
+        return "time"
+    except ValueError:
+        return "plain"
+
+
 def _compare(column: Column, op: str, edge: Column) -> Column:
     match op:
         case "gt":
@@ -253,7 +297,7 @@ def _wildcard(body: dict[str, Any], fields: Fields, now: Column) -> Column:
     path, pattern = _one(body)
     regex = "".join(".*" if c == "*" else "." if c == "?" else _regex_literal(c) for c in pattern)
     array = fields.values(path)
-    if array is not None and fields.promoted(path) is not None:
+    if array is not None:
         return F.exists(array, lambda v: v.rlike(f"(?s)^{regex}$"))
     column = fields.column(path).cast("string")
     if re.fullmatch(r"[^*?]*\*", pattern):

@@ -133,3 +133,20 @@ FLOW_FIELDS = [
     "flow.bytes_toserver",
     "flow.bytes_toclient",
 ]
+
+
+# Categories of log sources by keywords in the vendor's lower-cased name, in order of precedence.
+VENDOR_PREFIXES = [("ti ", "Threat Intel")]
+VENDOR_KEYWORDS = [
+    ("Threat Intel", ["threat intel", "threatconnect", "opencti", "misp", "greynoise", "recordedfuture", "flashpoint", "anomali", "cybersixgill", "cyware", "domaintools", "eclecticiq", "mandiant", "abuse.ch", "abusech", "threatq", "otx", "anyrun", "epss"]),
+    ("Endpoint", ["crowdstrike", "carbon black", "carbonblack", "cybereason", "sentinel one", "sentinelone", "cylance", "symantec", "trendmicro", "trend micro", "sophos", "bitdefender", "eset", "jamf", "trellix", "fireeye", "digital guardian", "nextron", "claroty", "forescout", "tanium", "tetragon", "sysdig", "falco", "osquery", "vectra", "darktrace", "cyera", "withsecure", "armis", "nozomi", "airlock"]),
+    ("Identity", ["okta", "ldap", "duo", "pingidentity", "auth0", "authentik", "beyondtrust", "beyondinsight", "cyberark", "jumpcloud", "keycloak", "forgerock", "ping ", "sailpoint", "teleport", "thycotic", "hashicorp vault", "1password", "bitwarden", "lastpass", "entityanalytics", "keeper", "identity", "lumos", "entro"]),
+    ("Windows", ["windows", "sysmon", "microsoft", "active directory", "m365 ", "o365", "entra", "defender", "intune"]),
+    ("Linux", ["linux", "syslog", "ubuntu", "debian", "rhel", "centos", "auditd", "macos", "santa", "iptables"]),
+    ("Cloud", ["aws ", "azure", "gcp", "google ", "cloudtrail", "salesforce", "amazon security", "tencent cloud", "awsfirehose"]),
+    ("Network", ["suricata", "zeek", "snort", "palo", "cisco", "fortinet", "checkpoint", "juniper", "arista", "f5 ", "sonicwall", "pfsense", "watchguard", "bluecoat", "forcepoint", "stormshield", "netflow", "network traffic", "radware", "netscout", "pulse connect", "proxysg", "squid", "zscaler", "netskope", "akamai", "cloudflare", "extrahop", "goflow", "hpe aruba", "imperva", "haproxy", "traefik", "envoyproxy", "prisma access"]),
+    ("Email", ["proofpoint", "mimecast", "ironscales", "sublime security", "barracuda", "checkpoint email", "abnormal"]),
+    ("Database", ["mysql", "postgresql", "oracle ", "mongodb", "redis", "cassandra", "couchdb", "couchbase", "memcached", "cockroachdb", "influxdb", "etcd", "rabbitmq", "kafka", "nats ", "elasticsearch", "ceph", "ibmmq"]),
+    ("Security Ops", ["splunk", "qradar", "ibm q", "rapid7", "swimlane", "tines", "elastic agent", "elastic package", "elastic security", "logstash", "kibana", "cribl", "canva", "wiz ", "servicenow", "tenable", "qualys", "snyk", "rubrik"]),
+    ("DevOps/Web", ["kubernetes", "docker", "gitlab", "github", "jenkins", "istio", "coredns", "grafana", "prometheus", "golang", "spring boot", "airflow", "apache spark", "activemq", "vsphere", "netbox", "nginx", "apache ", "tomcat", "iis", "citrix", "modsecurity", "php fpm", "websphere"]),
+]

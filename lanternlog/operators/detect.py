@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -9,13 +10,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lanternlog.functions.fields import to_leaf
 from lanternlog.functions.predicates import Fields, compile_filter
 from lanternlog.model import TS
 from lanternlog.operators.views import DETECTIONS
+from lanternlog.sources.lines import promote
 
 LOOK_BACK_DAYS = 180
-# Beyond this many rules the combined filter is no longer worth handing to the scan.
-_PUSHED_RULES = 50
 
 
 @dataclass(frozen=True)
@@ -80,11 +81,7 @@ def detect(df: DataFrame, rules: Sequence[Rule] | RuleSet, alert_time: Column |
             for rule, test in ruleset.rules
         ]
         hit = F.filter(F.array(*tests), lambda h: h.isNotNull())
-        if len(tests) <= _PUSHED_RULES:
-            any_rule = ruleset.rules[0][1]
-            for _, test in ruleset.rules[1:]:
-                any_rule = any_rule | test
-            df = df.where(any_rule)
+        df = df.where(_any([test for _, test in ruleset.rules]))
     stamp = F.current_timestamp() if alert_time is None else alert_time
     hits = df.withColumn("_hit", F.explode(hit)).withColumns(
         {
@@ -111,6 +108,26 @@ def detect(df: DataFrame, rules: Sequence[Rule] | RuleSet, alert_time: Column |
     )
 
 
+def _any(tests: list[Column]) -> Column:
+    """Their disjunction, as a balanced tree so that many rules make no deep expression."""
+    while len(tests) > 1:
+        tests = [functools.reduce(Column.__or__, tests[k : k + 2]) for k in range(0, len(tests), 2)]
+    return tests[0]
+
+
+def as_documents(alerts: DataFrame) -> DataFrame:
+    """Alerts as documents of the dataset ``detections``, one table a day, for ``Store.write``."""
+    own = {
+        "rule_id": "rule_id", "rule.name": "rule_name", "query_key": "query_key",
+        "event.index": "event_index", "event.id": "event_id", "alert_time": "alert_time",
+    }
+    leaves = F.create_map(*[x for path, c in own.items() for x in (F.lit(path), to_leaf(F.col(c)))])
+    leaves = F.map_filter(leaves, lambda _, v: v != "null")
+    if "fields" in alerts.columns:
+        leaves = F.map_concat(F.map_filter("fields", lambda k, _: ~k.isin(list(own))), leaves)
+    return promote(alerts.select("_id", TS, leaves.alias("fields")), DETECTIONS, F.col(TS), F.col("_id"))
+
+
 def look_back(df: DataFrame, now: Column, days: int = LOOK_BACK_DAYS) -> DataFrame:
     """Events a rule looks at on its first run."""
     start = now - F.make_dt_interval(days=F.lit(days))

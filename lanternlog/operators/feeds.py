@@ -80,7 +80,9 @@ def search(
             path, spec = next(iter(item.items()))
             order = spec["order"] if isinstance(spec, dict) else spec
             column = fields.column(path)
-            keys.append(column.desc_nulls_last() if order == "desc" else column.asc_nulls_last())
+            # a dynamic path may hold numbers: these sort by value, before or after all text
+            for key in [column.try_cast("double"), column] if fields.promoted(path) is None else [column]:
+                keys.append(key.desc_nulls_last() if order == "desc" else key.asc_nulls_last())
         out = out.orderBy(*keys, "_index", "_id")
     return out.limit(size)
 

@@ -99,7 +99,7 @@ def documents_of_files(
     docs = parts[0]
     for part in parts[1:]:
         docs = docs.unionByName(part)
-    base = F.lit(options.base) if options.base else L.dataset_of_file(F.regexp_replace("file", r"\.(gz|zip)$", ""))
+    base = F.lit(options.base) if options.base else L.dataset_of_file("file")
     if options.rebase:
         created = to_leaf(F.date_format("stamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
         docs = docs.withColumn("fields", F.map_concat(
@@ -113,9 +113,10 @@ def ingest_files(
     store: Store, path: str, options: Options = Options(), pipelines: Pipelines | None = None,
     now: dt.datetime | None = None,
 ) -> DataFrame:
-    """Ingest a file, glob or folder. Returns ``file, format, strategy, docs, error``.
+    """Ingest a file, glob or folder. Returns ``file, format, strategy, docs, rejected, error``.
 
-    A file that cannot be routed is reported with its error; the others go on.
+    A file that cannot be routed or read is reported with its error; the others go on. JSON lines
+    that are no objects are counted per file and kept under ``quarantine/`` of the store.
     """
     spark = store.spark
     stamp = F.lit(now or dt.datetime.now(dt.timezone.utc))
@@ -126,13 +127,25 @@ def ingest_files(
     docs.write.partitionBy("_base").parquet(f"{staged}/docs")
     plan.write.parquet(f"{staged}/plan")
     parsed = spark.read.schema(docs.schema).parquet(f"{staged}/docs")
+    files = spark.read.schema(plan.schema).parquet(f"{staged}/plan")
+    judged = L.json_lines(lines.join(files.where("strategy = 'json'").select("file"), "file"))
+    bad = judged.where(~F.col("accepted")).select("file", "line")
+    bad.write.parquet(kept := f"{store.root}/quarantine/{staged.rsplit('/', 1)[-1]}")
     for base in sorted(r[0] for r in parsed.select("_base").distinct().collect()):  # dataset names
         store.write(parsed.where(F.col("_base") == base), base, options.mode)
-    files = spark.read.parquet(f"{staged}/plan")
-    counts = parsed.groupBy("file").agg(F.count(F.lit(1)).alias("docs"))
-    failed = F.col("strategy").startswith("error")
-    return files.join(counts, "file", "left").select(
-        "file", "format", "strategy",
+    n = lambda c: F.count(F.lit(1)).alias(c)
+    counts = parsed.groupBy("file").agg(n("docs"))
+    rejected = spark.read.schema(bad.schema).parquet(kept).groupBy("file").agg(n("rejected"))
+    found = L.listed_files(spark, path)
+    slashes = lambda df: df.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    report = files.join(counts, "file", "left").join(rejected, "file", "left")
+    report = slashes(report).join(slashes(found), "file", "full_outer")
+    unread = F.when(F.col("hidden"), "error: hidden name").when(F.col("size") == 0, "error: empty file").otherwise("error: not readable")
+    strategy = F.coalesce("strategy", unread)
+    failed = strategy.startswith("error")
+    return report.select(
+        "file", F.coalesce("format", F.lit("other")).alias("format"), strategy.alias("strategy"),
         F.when(failed, 0).otherwise(F.coalesce("docs", F.lit(0))).cast("bigint").alias("docs"),
-        F.when(failed, F.col("strategy")).alias("error"),
+        F.coalesce("rejected", F.lit(0)).cast("bigint").alias("rejected"),
+        F.when(failed, strategy).alias("error"),
     )

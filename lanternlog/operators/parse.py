@@ -6,7 +6,6 @@ Every parser keeps the row. A failure leaves the outputs null and fills
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Callable, Iterable, Sequence
 
@@ -244,10 +243,16 @@ class Pipelines:
         self.steps = dict(steps or {})
 
     def hints(self, name: str) -> list[str]:
-        known, wanted = sorted(self.steps), name.lower()
-        part = [k for k in known if wanted and (wanted in k.lower() or k.lower() in wanted)]
-        close = difflib.get_close_matches(wanted, known, n=12, cutoff=0.45)
-        return list(dict.fromkeys(part + close))[:5]
+        """Up to five known names that share most of their letter pairs with ``name``, best first."""
+        pairs = lambda text: {text[k : k + 2] for k in range(len(text) - 1)}
+        wanted = pairs(name.casefold())
+
+        def likeness(step: str) -> float:
+            own = pairs(step.casefold())
+            return 2 * len(own & wanted) / max(1, len(own) + len(wanted))
+
+        ranked = sorted((-likeness(step), step) for step in self.steps)
+        return [step for likely, step in ranked[:5] if likely <= -0.4]
 
     def resolve(self, name: str) -> Step:
         if name not in self.steps:

@@ -111,12 +111,3 @@ def rollback_result(log: DataFrame, run_id: str) -> DataFrame:
     return mine.agg(
         F.count_if("rollback_supported").alias("reverted"), F.count(F.lit(1)).alias("total")
     )
-
-
-def check_rollback(log: DataFrame, run_id: str, force: bool = False) -> dict[str, Any] | None:
-    """An error report when the run is unknown or, without ``force``, when any record is blocked."""
-    if log.where(F.col("run_id") == run_id).isEmpty():
-        return {"run_id": run_id, "error": "no audit records for this run"}
-    if not force and not later_changes(log, run_id).isEmpty():
-        return {"run_id": run_id, "error": "later runs changed the same fields"}
-    return None

@@ -49,9 +49,9 @@ def suppress(
     if window_seconds <= 0:
         raise ValueError("window must be positive")
     window = window_seconds * 1_000_000
-    keyed = hits.withColumns({"key": key_of(F.col("query_key")), "us": F.unix_micros(TS)})
-    # Written once: what follows passes over the hits' instants several times, and the
-    # events behind them are far more than the hits.
+    # Written once: a hit without a time of its own got the clock's, and ids may be drawn anew each
+    # time, so what is decided and what is returned must be the same rows.
+    keyed = checkpointed(hits.withColumns({"key": key_of(F.col("query_key")), "us": F.unix_micros(TS)}))
     moments = checkpointed(keyed.groupBy(*_KEY, "us").agg(F.min(F.struct("event_index", "event_id")).alias("who")))
     kept = kept_moments(moments.select(*_KEY, "us"), window, state, limits)
     chosen = moments.join(kept, [*_KEY, "us"], "left_semi").select(
@@ -70,10 +70,11 @@ def kept_moments(
 ) -> DataFrame:
     """Distinct ``(rule_id, key, us)`` -> the kept ones."""
     if state is not None:
-        # What the earlier pass rules out goes first; then every key starts afresh.
-        floor = state.select(*_KEY, (F.col("last_us") + window).alias("floor"))
-        moments = moments.join(floor, _KEY, "left").where(F.col("floor").isNull() | (F.col("us") >= F.col("floor")))
-        moments = moments.drop("floor")
+        # What the earlier pass rules out goes first; then every key starts afresh. A hit that comes late,
+        # from before the window around the last kept one, is news and stays.
+        moments = moments.join(state.select(*_KEY, "last_us"), _KEY, "left")
+        near = F.abs(F.col("us") - F.col("last_us")) < window
+        moments = moments.where(F.col("last_us").isNull() | ~near).drop("last_us")
     sizes = moments.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.where(F.col("n") > limits.hot).select(*_KEY)
     never = F.lit(_NEVER).cast("bigint")

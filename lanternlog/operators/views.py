@@ -15,10 +15,11 @@ from lanternlog.model import ALERT_VIEW_FILTER, TS
 
 DETECTIONS = "detections"
 RESERVED = {
-    "soc-alerts": [("suricata-*", ALERT_VIEW_FILTER), (DETECTIONS, None)],
+    "soc-alerts": [("suricata-*", ALERT_VIEW_FILTER), (DETECTIONS, None), (f"{DETECTIONS}-*", None)],
     "suricata": [("suricata-*", None)],
-    "sigma-alerts": [(DETECTIONS, None)],
+    "sigma-alerts": [(DETECTIONS, None), (f"{DETECTIONS}-*", None)],
 }
+# What names of views and sources may look like, and the day at the end of a table's name.
 _NAME = r"[A-Za-z0-9][A-Za-z0-9._+-]*"
 _SOURCE = r"[A-Za-z0-9][A-Za-z0-9._+*-]*"
 _DAY = r"\d{4}\.\d{2}\.\d{2}"
@@ -45,6 +46,8 @@ class Catalog:
 
     datasets: dict[str, Dataset] = field(default_factory=dict)
     views: dict[str, list[tuple[str, Filter]]] = field(default_factory=dict)
+    #: Called with all definitions whenever one changes.
+    saved: Callable[[dict[str, list[tuple[str, Filter]]]], None] | None = None
 
     def register(self, base: str, frame: Callable[[], DataFrame], tables: Callable[[], Sequence[str]]) -> None:
         self.datasets[base] = Dataset(base, frame, tables)
@@ -77,32 +80,50 @@ class Catalog:
     def create_view(self, name: str, sources: Iterable[tuple[str, Filter]]) -> dict[str, Any]:
         """Add sources to a view. Checks everything first, then swaps the definition in."""
         self.check_view_name(name)
-        sources = list(sources)
-        if not sources:
-            raise ValueError("at least one source is required")
-        chosen: dict[str, Filter] = {}
-        for source, query in sources:
-            if not source or source == "_all" or not re.fullmatch(_SOURCE, source):
-                raise ValueError(f"unsafe source {source!r}")
-            tables = self.resolve(source)
-            if not tables and "*" not in source:
-                raise ValueError(f"source {source!r} matches no table")
+        wanted = dict(self._sources(sources))
+        reached = {source: self.resolve(source) for source in wanted}
+        missing = [s for s, tables in reached.items() if not tables and "*" not in s]
+        if missing:
+            raise ValueError(f"no table behind {missing[0]!r}")
+        for source, query in wanted.items():
             if query is not None:
-                validate_filter(self._probe(tables), query)
+                validate_filter(self._probe(reached[source]), query)
+        # a table may be reached by several sources only under one filter
+        filters: dict[str, dict[str, Filter]] = {}
+        for source, tables in reached.items():
             for table in tables:
-                if table in chosen and chosen[table] != query:
-                    raise ValueError(f"table {table!r} is targeted with different filters")
-                chosen[table] = query
+                filters.setdefault(table, {})[repr(wanted[source])] = wanted[source]
+        torn = sorted(table for table, own in filters.items() if len(own) > 1)
+        if torn:
+            raise ValueError(f"table {torn[0]!r} would be under different filters")
         # Additive; a source named again takes its new filter.
-        merged = dict(self.views.get(name, []))
-        merged.update(dict(sources))
-        self.views[name] = list(merged.items())
-        return {"view": name, "tables": sorted(chosen), "patterns": [s for s, _ in sources if "*" in s]}
+        self._define({**self.views, name: list((dict(self.views.get(name, ())) | wanted).items())})
+        return {"view": name, "tables": sorted(filters), "patterns": [s for s in wanted if "*" in s]}
+
+    @staticmethod
+    def _sources(given: Iterable[tuple[str, Filter]]) -> list[tuple[str, Filter]]:
+        """The sources as pairs with safe names; one named twice must have one filter."""
+        pairs = list(given)
+        if not pairs:
+            raise ValueError("a view needs a source")
+        seen: dict[str, Filter] = {}
+        for source, query in pairs:
+            if source == "_all" or not re.fullmatch(_SOURCE, source or ""):
+                raise ValueError(f"unsafe source {source!r}")
+            if seen.setdefault(source, query) != query:
+                raise ValueError(f"source {source!r} comes with different filters")
+        return pairs
+
+    def _define(self, views: dict[str, list[tuple[str, Filter]]]) -> None:
+        if self.saved:
+            self.saved(views)
+        self.views = views
 
     def delete_view(self, name: str) -> dict[str, Any]:
         """Drop the definition; tables and documents stay."""
         self.check_view_name(name)
-        removed = self.views.pop(name, [])
+        removed = self.views.get(name, [])
+        self._define({k: v for k, v in self.views.items() if k != name})
         return {"view": name, "removed": [s for s, _ in removed]}
 
     def list_views(self, show_all: bool = False, include_reserved: bool = False) -> list[str]:

@@ -167,9 +167,12 @@ def flow_facets(t: Tables) -> DataFrame:
     return A.flow_facets(flows_of(t), exact=True).withColumn("total", total)
 
 
-@query("flow_facets_approx")
+@query("flow_facets_approx", "SELECT true AS src_close, true AS dst_close", docs=False)
 def flow_facets_approx(t: Tables) -> DataFrame:
-    return A.flow_facets(flows_of(t))
+    """Are the sketches within 5 % of the exact counts?"""
+    exact = A.flow_facets(flows_of(t), exact=True)
+    near = lambda c: F.abs(F.col(c) - exact.select(c).scalar()) <= 0.05 * exact.select(c).scalar()
+    return A.flow_facets(flows_of(t)).select(near("unique_src").alias("src_close"), near("unique_dst").alias("dst_close"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.functions.projections import keyword_category, vendor_name
-from lanternlog.model import ALERT_VIEW_FILTER
+from lanternlog.model import ALERT_VIEW_FILTER, VENDOR_KEYWORDS, VENDOR_PREFIXES
 from lanternlog.operators import aggregates, detect as D, rules as R, views as V
 from lanternlog.plans.registry import millis, query
 from lanternlog.sources.bind import RULES_SQL, Tables, rule_lines
@@ -154,27 +154,27 @@ def rule_hits(t: Tables) -> DataFrame:
     return hits.select("file", "line_no", "sid", "status", "hits")
 
 
-# The keyword table is the caller's; this one covers the sources named below.
-_KEYWORDS = [
-    ("Identity", ["okta", "1password"]),
-    ("Cloud", ["aws ", "azure"]),
-    ("DevOps/Web", ["nginx", "docker"]),
-]
-_SOURCES = ["aws", "aws_waf-log", "ti_misp-x", "okta-system", "nginx-access", "1password-events", "zzz"]
+# Sources of every category, picked by the number of the part.
+_SOURCES = [
+    "aws", "aws_waf-log", "ti_misp-x", "okta-system", "nginx-access", "1password-events", "zzz", "crowdstrike-falcon",
+    "windows-security", "auditd-log", "zeek-conn", "proofpoint-mail", "kafka-broker", "splunk-audit",
+]
 
 
 @query(
     "vendor_rollup",
     """
-    SELECT v.vendor, count(*) AS count, v.category FROM (SELECT p_partkey % 7 AS i FROM part) p JOIN (VALUES
+    SELECT v.vendor, count(*) AS count, v.category FROM (SELECT p_partkey % 14 AS i FROM part) p JOIN (VALUES
       (0, 'Aws', 'Other'), (1, 'Aws Waf', 'Cloud'), (2, 'Ti Misp', 'Threat Intel'), (3, 'Okta', 'Identity'),
-      (4, 'Nginx', 'DevOps/Web'), (5, '1Password', 'Identity'), (6, 'Zzz', 'Other')) v(i, vendor, category) USING (i) GROUP BY ALL
+      (4, 'Nginx', 'DevOps/Web'), (5, '1Password', 'Identity'), (6, 'Zzz', 'Other'), (7, 'Crowdstrike', 'Endpoint'),
+      (8, 'Windows', 'Windows'), (9, 'Auditd', 'Linux'), (10, 'Zeek', 'Network'), (11, 'Proofpoint', 'Email'),
+      (12, 'Kafka', 'Database'), (13, 'Splunk', 'Security Ops')) v(i, vendor, category) USING (i) GROUP BY ALL
     """,
     docs=False,
 )
 def vendor_rollup(t: Tables) -> DataFrame:
-    stem = F.element_at(F.array(*[F.lit(s) for s in _SOURCES]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    category = keyword_category(F.col("vendor"), _KEYWORDS, prefixes=[("ti ", "Threat Intel")])
+    stem = F.element_at(F.array(*[F.lit(s) for s in _SOURCES]), (F.col("p_partkey") % len(_SOURCES) + 1).cast("int"))
+    category = keyword_category(F.col("vendor"), VENDOR_KEYWORDS, VENDOR_PREFIXES)
     return aggregates.vendor_rollup(t.table("part"), vendor_name(stem), category)
 
 

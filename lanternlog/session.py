@@ -35,16 +35,29 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written state, in the shared folder the cluster names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` or the checkpoint folder set.
 
-    Only when no such folder is configured (local tests) is a local one made.
+    Only a local master, as in tests, may do without; one temporary folder then serves the session
+    and is removed when the process ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
-        suffix = os.urandom(6).hex()
-        return f"{shared.rstrip('/')}/{name}-{suffix}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.TemporaryDirectory(prefix="lanternlog-"))
+    return _own[0].name
+
+
+_own: list[tempfile.TemporaryDirectory] = []
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written state, in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{os.urandom(6).hex()}"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -59,6 +72,6 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

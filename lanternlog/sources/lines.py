@@ -43,6 +43,9 @@ def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
     def first_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
+                # an archive that cannot be read has no lines; whoever lists the files sees it is missing
+                if not zipfile.is_zipfile(io.BytesIO(content)):
+                    continue
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     members = archive.namelist()
                     if not members:
@@ -66,6 +69,20 @@ def _line_frame(name: str, start: int, lines: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"file": name, "row": range(start, start + len(lines)), "line": lines})
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, size and hidden (a name that readers skip) of all files of a folder or glob, empty ones too."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for status in fs.globStatus(root) or []:
+        for s in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            name = s.getPath().getName()
+            if s.isFile() and not name.endswith(".crc"):
+                rows.append((s.getPath().toString(), s.getLen(), name[0] in "._"))
+    return spark.createDataFrame(rows, "file string, size bigint, hidden boolean")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Plain, gzip and zip files of a folder or glob."""
     return read_log_files(spark, path).unionByName(read_zip_members(spark, path))
@@ -93,7 +110,7 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
         F.when(body.isNull(), "text").when(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), "event").otherwise("scalar")
     )
     parsed = lines.where(~blank(text)).withColumn("status", status)
-    return parsed.withColumn("fields", F.when(F.col("status") == "event", flatten(body)))
+    return parsed.withColumn("fields", F.when(F.col("status") == "event", flatten(body, text)))
 
 
 def with_constants(df: DataFrame, constants: dict[str, Any] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 ``docs/<base>/v<N>/_day=…``   documents; appends go to the newest version
 ``runs/run=<seq>/op=<n>/…``    patch records of one run
 ``runs/run=<seq>/created/…``   documents that run created, until they are compacted
+``views/v<N>``                 view definitions, the newest counts
 ``_COMMITTED``                 marker written last; a folder without one is not read
 
 A marker is created only if absent, so a run or version is published exactly once
@@ -14,13 +15,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanternlog.model import AUDIT_DDL, TS, document_ddl
+from lanternlog.model import AUDIT_DDL, document_ddl
 from lanternlog.operators.patches import apply_patches
-from lanternlog.operators.views import Catalog
+from lanternlog.operators.views import DETECTIONS, Catalog
 
 _MARK = "_COMMITTED"
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
 class Store:
@@ -82,12 +84,12 @@ class Store:
         if mode == "replace" and versions:
             folder = self._new_version(base, None)
             self._write(docs, folder)
-            self._publish(folder, {"replaces": "all", "folded": self.last_run()})
+            self._publish(folder, {"replaces": "all", "folded": self._settled()})
             return
-        if not versions:
-            self._new_version(base, {"replaces": [], "folded": 0})
-            versions = self._versions(base)
-        self._write(docs, versions[-1][0])
+        # an append is a version of its own: readers see all of it or nothing
+        folder = self._new_version(base, None)
+        self._write(docs, folder)
+        self._publish(folder, {"replaces": [], "folded": 0})
 
     def _write(self, docs: DataFrame, folder: str) -> None:
         by_day(docs.select(*self._columns()), "_day").write.mode("append").partitionBy("_day").parquet(folder)
@@ -137,19 +139,24 @@ class Store:
         for folder, hidden in visible:
             frame = self.spark.read.schema(document_ddl()).option("basePath", folder).parquet(folder)
             if hidden:
-                frame = frame.where(~F.col("_day").isin([F.lit(d).cast("date") for d in hidden]))
+                frame = frame.where(~_on_days("_day", hidden))
             parts.append(frame.select(*self._columns()))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
         return out
 
-    def read(self, base: str, log: DataFrame | None = None, extra: Sequence[DataFrame] = ()) -> DataFrame:
+    def read(
+        self, base: str, log: DataFrame | None = None, extra: Sequence[DataFrame] = (), fresh: bool = False
+    ) -> DataFrame:
         """Current documents. Days no pending patch touches are read without any join.
 
-        ``log`` and ``extra`` replace the committed log and add documents, for an open run.
+        ``log`` and ``extra`` replace the committed log and add documents, for an open run;
+        ``fresh`` leaves out what the dataset held before that run dropped it.
         """
         docs = self.stored(base)
+        if fresh:
+            docs = docs.where(F.lit(False))
         for frame in extra:
             docs = docs.unionByName(frame.select(*docs.columns))
         folded = max(note["folded"] for _, note in self._versions(base))
@@ -160,11 +167,11 @@ class Store:
             return apply_patches(docs, mine)
         if not touched:
             return docs
-        hit = F.col("_day").isin([F.lit(d).cast("date") for d in touched])
+        hit = _on_days("_day", touched)
         return docs.where(~hit).unionByName(apply_patches(docs.where(hit), mine))
 
     def catalog(self) -> Catalog:
-        out = Catalog()
+        out = Catalog(views=self._views(), saved=self._save_views)
         for base in self.bases():
             out.register(
                 base,
@@ -183,6 +190,13 @@ class Store:
     def last_run(self) -> int:
         return max((int(n[4:]) for n in self._names(f"{self.root}/runs")), default=0)
 
+    def _settled(self) -> int:
+        """The last run such that it and all before it are committed or given up: none below it is open."""
+        done = {seq for seq, _, _ in self._runs()}
+        started = [int(n[4:]) for n in self._names(f"{self.root}/runs")]
+        first_open = min((s for s in started if s not in done), default=None)
+        return max((s for s in done if first_open is None or s < first_open), default=0)
+
     def begin_run(self) -> tuple[int, str]:
         seq = self.last_run() + 1
         folder = f"{self.root}/runs/run={seq:09d}"
@@ -217,25 +231,59 @@ class Store:
         return parts.select(*columns.columns)
 
     def _touched_days(self, folded: int) -> list[str]:
-        return sorted({d for seq, _, note in self._runs() if seq > folded for d in note["days"] if d[:1].isdigit()})
+        return sorted({d for seq, _, note in self._runs() if seq > folded for d in note["days"]})
 
     def compact(self, base: str) -> int:
         """Fold the pending patches of a dataset into a new version of the touched days."""
         folded = max(note["folded"] for _, note in self._versions(base))
         present = set(self.days(base))
+        # what an open run writes stays pending, and so do runs that follow it
+        upto = self._settled()
         days = [d for d in self._touched_days(folded) if d in present]
-        upto = self.last_run()
+        log = self.log().where(F.col("run_seq") <= upto)
+        current = self.read(base, log)
         folder = self._new_version(base, None)
         if days:
-            hit = F.col("_day").isin([F.lit(d).cast("date") for d in days])
-            self._write(self.read(base).where(hit), folder)
+            self._write(current.where(_on_days("_day", days)), folder)
         self._publish(folder, {"replaces": days, "folded": upto})
         return len(days)
 
-    def reset(self, base: str) -> None:
-        """Hide all documents of a dataset; used before a replay."""
+    def reset(self, base: str, upto: int | None = None) -> None:
+        """Hide all documents of a dataset; used before a replay. Runs after ``upto`` still count."""
         folder = self._new_version(base, None)
-        self._publish(folder, {"replaces": "all", "folded": self.last_run()})
+        self._publish(folder, {"replaces": "all", "folded": self._settled() if upto is None else upto})
+
+    def reset_replay(self, bases: Sequence[str], checkpoint: str | None = None) -> None:
+        """Before a replay: hide the events and the detections made of them, and forget a stream's progress."""
+        for base in dict.fromkeys([*bases, DETECTIONS]):
+            if base in self.bases():
+                self.reset(base)
+        if checkpoint:
+            path = self._path(checkpoint)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    # views ------------------------------------------------------------------------------------
+
+    def _views(self) -> dict[str, list]:
+        """The newest published definitions."""
+        home = f"{self.root}/views"
+        for name in reversed(self._names(home)):
+            note = self._note(f"{home}/{name}")
+            if note is not None:
+                return {k: [tuple(s) for s in v] for k, v in note["views"].items()}
+        return {}
+
+    def _save_views(self, views: dict[str, list]) -> None:
+        home = f"{self.root}/views"
+        folder = f"{home}/v{len(self._names(home)) + 1:09d}"
+        self._fs.mkdirs(self._path(folder))
+        self._publish(folder, {"views": views})
+
+
+def _on_days(column: str, days: Sequence[str]) -> Column:
+    """The day is one of ``days`` (folder names); never null, so its negation holds for rows without a day."""
+    dated = F.col(column).isin([F.lit(d).cast("date") for d in days if d != _NO_DAY])
+    return F.coalesce(dated, F.lit(_NO_DAY in days))
 
 
 def by_day(df: DataFrame, day: str) -> DataFrame:
@@ -246,6 +294,3 @@ def by_day(df: DataFrame, day: str) -> DataFrame:
     """
     return df.hint("rebalance", F.col(day))
 
-
-def event_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("_index").agg(F.count(F.lit(1)).alias("docs"), F.max(TS).alias("last_event"))

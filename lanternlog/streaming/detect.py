@@ -30,14 +30,20 @@ def write_alerts(alerts: DataFrame, target: str, checkpoint: str) -> DataStreamW
 
 
 def write_suppressed(
-    alerts: DataFrame, target: str, checkpoint: str, window_seconds: int = 60, limits: Limits = Limits()
+    alerts: DataFrame,
+    target: str,
+    checkpoint: str,
+    window_seconds: int = 60,
+    limits: Limits = Limits(),
+    keep_seconds: int | None = None,
 ) -> DataStreamWriter:
     """Append the hits that survive suppression.
 
     Each batch runs the batch operator, which splits hot keys, from the kept times the
     previous batch left in ``state/``. Batch folders are overwritten on replay, so a
     restart neither loses nor repeats an alert. The state is a distributed table with one
-    row per key that ever alerted.
+    row per key; with ``keep_seconds`` a key leaves it when its last alert lies that much (and a
+    window) before the latest one of all. Hits that come later than that are kept, not dropped.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -55,6 +61,9 @@ def write_suppressed(
         )
         if state is not None:
             last = state.unionByName(last).groupBy("rule_id", "key").agg(F.max("last_us").alias("last_us"))
+        if keep_seconds is not None:
+            latest = last.agg(F.max("last_us")).scalar()
+            last = last.where(F.col("last_us") >= latest - (keep_seconds + window_seconds) * 1_000_000)
         last.write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
 
     return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

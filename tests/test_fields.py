@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from lanternlog.functions import fields as L
 
 
-def _maps(spark, *bodies, depth=L.MAX_DEPTH):
+def _maps(spark, *bodies):
     df = spark.createDataFrame([(b,) for b in bodies], "b string")
-    return [r[0] for r in df.select(L.flatten(F.try_parse_json("b"), depth)).collect()]
+    return [r[0] for r in df.select(L.flatten(F.try_parse_json("b"), F.col("b"))).collect()]
 
 
 def test_flatten_paths_arrays_and_null(spark):
@@ -24,9 +24,13 @@ def test_nested_and_literal_dotted_key_meet(spark):
     assert list(got) == ["a.b"]
 
 
-def test_depth_limit_keeps_one_leaf(spark):
-    (got,) = _maps(spark, '{"a":{"b":{"c":{"d":1}}}}', depth=2)
-    assert got == {"a.b": '{"c":{"d":1}}'}
+def test_any_depth(spark):
+    body = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1,"h":2,"i":{"j":{"k":3}}}}}}}}}'
+    (got,) = _maps(spark, body)
+    assert got == {"a.b.c.d.e.f.g": "1", "a.b.c.d.e.f.h": "2", "a.b.c.d.e.f.i.j.k": "3"}
+    df = spark.createDataFrame([(body,)], "b string").select(L.flatten(F.try_parse_json("b")).alias("fields"))
+    set_ = df.select(L.expand_fields(L.set_constants(F.col("fields"), {"a.b.c.d.e.f.g": 5}))).first()[0]
+    assert json.loads(set_)["a"]["b"]["c"]["d"]["e"]["f"] == {"g": 5, "h": 2, "i": {"j": {"k": 3}}}
 
 
 def test_expand_is_the_inverse_of_flatten(spark):

@@ -137,3 +137,20 @@ def test_filters_reach_the_scan(spark):
     found = where(docs, {"range": {TS: {"gte": "2024-01-05T00:00:00"}}}).select("_id")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp>" in plan
+
+
+def test_dynamic_paths_compare_as_what_the_bound_is(spark):
+    rows = [("1", {"seen": '"2024-03-01T11:00:00Z"', "r": "5", "tags": '["ab","cd"]'}), ("2", {"seen": '"2024-01-01T00:00:00Z"', "r": "50"})]
+    df = spark.createDataFrame(rows, "_id string, fields map<string,string>")
+    now = dt.datetime(2024, 3, 1, 12, tzinfo=dt.timezone.utc)
+    assert ids(df, {"range": {"seen": {"gte": "now-24h"}}}, now=now) == ["1"]
+    assert ids(df, {"range": {"r": {"lt": "10"}}}) == ["1"]
+    assert ids(df, {"wildcard": {"tags": "c*"}}) == ["1"]
+
+
+def test_a_literal_that_does_not_fit_is_an_error_of_its_rule_only(docs):
+    from lanternlog.operators.detect import Rule, prepare
+
+    rules = [Rule("bad", {"term": {"alert.severity": "high"}}), Rule("good", {"term": {"alert.severity": "1"}})]
+    got = prepare(docs.withColumn("_index", F.lit("t")), rules)
+    assert [r.rule_id for r, _ in got.rules] == ["good"] and [e[0] for e in got.errors] == ["bad"]

@@ -31,6 +31,7 @@ def folder(tmp_path):
         z.writestr("second.log", "never read\n")
     (home / ".hidden").write_text("{}\n")
     (home / "empty.log").write_text("")
+    (home / "torn.zip").write_bytes(b"PK no archive")
     return str(home)
 
 
@@ -47,19 +48,23 @@ def test_folder_ingest_reports_each_file(spark, folder, tmp_path):
     report = {r["file"].rsplit("/", 1)[-1].replace("%20", " "): r for r in ingest_files(store, folder, now=NOW).collect()}
     assert {n: (r["strategy"], r["docs"]) for n, r in report.items()} == {
         "App Events.json": ("json", 2), "fw.log.gz": ("cef", 2), "web.zip": ("error: text needs a pipeline", 0),
+        ".hidden": ("error: hidden name", 0), "empty.log": ("error: empty file", 0), "torn.zip": ("error: not readable", 0),
     }
+    assert {n: r["rejected"] for n, r in report.items() if r["rejected"]} == {"App Events.json": 2}
+    kept = spark.read.parquet(f"{store.root}/quarantine/*")
+    assert sorted(r["line"] for r in kept.collect()) == ["[1]", "not json"]
     assert report["web.zip"]["error"]
-    assert store.bases() == ["logs-app-events", "logs-fw"]
+    assert store.bases() == ["logs-app-events", "logs-fw-log"]
     rows = store.read("logs-app-events").orderBy(TS).collect()
     assert rows[0]["_index"] == "logs-app-events-2024.01.02" and rows[0]["_malformed"] == ["alert.severity"]
     assert rows[0]["fields"]["alert.severity"] == '"high"' and rows[1][TS].date() == dt.date(2024, 3, 1)
-    cef = store.read("logs-fw").where("fields['cef.extensions.src'] = '\"1.1.1.1\"'")
+    cef = store.read("logs-fw-log").where("fields['cef.extensions.src'] = '\"1.1.1.1\"'")
     assert cef.count() == 1
     # Appending duplicates; replacing does not.
     ingest_files(store, folder, now=NOW)
-    assert store.read("logs-fw").count() == 4
+    assert store.read("logs-fw-log").count() == 4
     ingest_files(store, folder, Options(mode="replace"), now=NOW)
-    assert store.read("logs-fw").count() == 2
+    assert store.read("logs-fw-log").count() == 2
 
 
 def test_explicit_pipeline_and_rebase(spark, folder, tmp_path):

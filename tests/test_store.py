@@ -181,7 +181,7 @@ def test_enrichment_contract():
     with pytest.raises(ValueError):
         Enrichment("e", print, type="play_never")
     with pytest.raises(TypeError):
-        Enrichment("e", lambda ctx: None).invoke(None, {"a": 1})
+        Enrichment("e", lambda ctx: None).bound({"a": 1})
     name = new_run_id("job")
     assert name.startswith("job-") and len(name.split("-")[-1]) == 6
 
@@ -272,3 +272,56 @@ def test_context_is_usable_directly(store):
     ctx = Context(store, "lab", "by-hand", "run-x")
     assert ctx.exists(T1, "1") and ctx.get(T1, "1").first()["_id"] == "1"
     assert ctx.summary()["docs_updated"] == 0
+
+
+def test_rows_without_a_day_survive_a_patch(spark, store):
+    store.write(promote(documents(spark).select("fields").limit(1), "suricata", F.lit(None).cast("timestamp"), F.lit("x")), "suricata")
+    assert store.read("suricata").count() == 4
+    run(store, lambda ctx: ctx.update_by_query("suricata", ALERTS, {"k": 1}))
+    assert store.read("suricata").count() == 4
+
+
+def test_views_outlive_the_catalog_and_are_targets(store):
+    store.catalog().create_view("mine", [("suricata-*", ALERTS)])
+    run(store, lambda ctx: ctx.update_by_query("mine", None, {"k": 1}))
+    assert {i for i, f in state(store).items() if "k" in f} == {"1", "2"}
+    store.catalog().delete_view("mine")
+    assert "mine" not in store.catalog().list_views()
+
+
+def test_detections_of_a_store_are_in_the_views(store):
+    from lanternlog.operators.detect import Rule, as_documents, detect
+
+    store.write(as_documents(detect(store.read("suricata"), [Rule("r", ALERTS)])), "detections")
+    assert store.catalog().read("sigma-alerts").count() == 2
+    assert store.catalog().read("soc-alerts").count() == 4
+    store.reset_replay(["suricata"])
+    assert store.catalog().read("soc-alerts").count() == 0
+
+
+def test_drop_and_create_in_one_run(store):
+    def job(ctx):
+        ctx.drop_dataset("suricata")
+        assert ctx.read("suricata-*").count() == 0
+        ctx.create_dataset("suricata")
+        ctx.index_doc("suricata", {"@timestamp": "2024-01-05T00:00:00Z"}, "new")
+
+    run(store, job)
+    assert set(state(store)) == {"new"}
+
+
+def test_a_failed_run_drops_nothing(store):
+    def job(ctx):
+        ctx.drop_dataset("suricata")
+        raise RuntimeError("no")
+
+    out = run_enrichment(Enrichment("e", job), {"lab": store})
+    assert not out["results"][0]["ok"] and len(state(store)) == 3
+
+
+def test_compact_beside_an_open_run_keeps_its_patches(store):
+    ctx = Context(store, "lab", "open", new_run_id("open"))
+    ctx.update_by_query("suricata", ALERTS, {"k": 1})
+    store.compact("suricata")
+    ctx.commit()
+    assert {i for i, f in state(store).items() if "k" in f} == {"1", "2"}

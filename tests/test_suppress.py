@@ -49,3 +49,22 @@ def test_wild_timestamps_do_not_overflow(spark):
     rows = [("r", str(k), us) for k in range(50) for us in (0, 1, far)]
     got = kept_moments(spark.createDataFrame(rows, "rule_id string, key string, us bigint"), 60)
     assert got.count() == 100
+
+
+def test_hits_without_a_time_and_drawn_ids_are_not_lost(spark):
+    from pyspark.sql import functions as F
+
+    from lanternlog.operators.suppress import suppress
+
+    hits = spark.range(2).select(
+        F.lit("r").alias("rule_id"), F.col("id").cast("string").alias("query_key"), F.current_timestamp().alias("@timestamp"),
+        F.lit("t").alias("event_index"), F.uuid().alias("event_id"),
+    )
+    assert suppress(hits).count() == 2
+
+
+def test_late_hit_before_the_window_stays(spark):
+    state = spark.createDataFrame([("r", "=k", 1_000)], "rule_id string, key string, last_us bigint")
+    moments = spark.createDataFrame([("r", "=k", t) for t in (100, 950, 1_050, 1_100)], "rule_id string, key string, us bigint")
+    got = sorted(r["us"] for r in kept_moments(moments, 100, state).collect())
+    assert got == [100, 1_100]
