@@ -8,15 +8,16 @@ Unrelated texts are all at distance 1 from each other, so pivots drawn at large
 every window would hold everything. Space is therefore first cut into regions that a link cannot avoid:
 two sets with Jaccard similarity s or more share a shingle among the n - ceil(s n) + 1 rarest of each (an
 order by frequency, any order is exact). The region of a shingle is the sets that hold it among those.
-Regions of one set vanish; in each other region
+Regions of one set vanish. In regions of at most ``SMALL`` sets the pairs that share enough of their rarest
+shingles to allow a link are compared directly. In each larger region
 
 1. the most central set is the pivot, and every set of the region gets its exact distance to it (one set
    is the pivot of many regions, and each pair is measured once). The sets within the radius are the
    pivot's cell: they are linked to it and settled;
 2. the sets outside are the next region, and boundary sets whose distance to the pivot is within a radius
    of one outside are replicated into it (the triangle-inequality window);
-3. a region of at most ``SMALL`` sets compares its pairs directly, a larger one returns to 1 with a new
-   pivot. Pairs already connected, or of sizes that exclude a link, are not compared.
+3. a region of at most ``SMALL`` sets now compares its pairs directly, a larger one returns to 1 with a
+   new pivot. Pairs already connected, or of sizes that exclude a link, are not compared.
 
 Links between different sets come out as pairs that connect all that is connected, with their exact
 similarity; components are taken over them. Frequencies only order the shingles: what tasks count twice
@@ -42,7 +43,7 @@ from lanternlog.llm.tables import stored
 
 WORDS, PERCENT = 4, 85
 FREQUENT, OFTEN = 1 << 18, 16
-SMALL = 64
+SMALL = 48
 _U = np.uint64
 _FACTORS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5), _U(0x85EBCA77C2B2AE63)]
 
@@ -68,6 +69,7 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray
     buf, at = B.utf8(column)
     for i, j in B.slices(at):
         flat, begin = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], words)
+        flat = flat.view(np.int64)  # the order of bigints, here and in Spark
         own = [np.unique(flat[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
         yield np.concatenate(own) if own else flat, np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
 
@@ -78,29 +80,32 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [flat for flat, _ in _sets(batch.column(0), words)]
-            values, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, _U), np.zeros(0, np.int64))
+            values, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             some = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["shingle", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(n[some].astype(np.int64))], names=["shingle", "n"])
 
     seen = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = seen.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    keys = rows.column("shingle").to_numpy().view(_U)
+    keys = rows.column("shingle").to_numpy()
     order = np.argsort(keys)
     return keys[order], rows.column("n").to_numpy()[order]
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), two halves of the set's identity, its rarest shingles and how many are not frequent."""
+    """doc_id, n (set size), two halves of the set's identity, its rarest shingles and how many are not frequent.
+
+    ``last`` places the last of the rarest shingles in the order of all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         for batch in batches:
-            sizes, one, two, rare, alone = [], [], [], [], []
+            sizes, one, two, rare, alone, last = [], [], [], [], [], []
             for flat, begin in _sets(batch.column(1), words):
                 k = np.minimum(np.searchsorted(often, flat), max(len(often) - 1, 0))
                 n = np.where(often[k] == flat, times[k], 0) if len(often) else np.zeros(len(flat), np.int64)
-                a, b = B.mix(flat), B.mix(flat ^ _FACTORS[1])
+                a, b = B.mix(flat.view(_U)), B.mix(flat.view(_U) ^ _FACTORS[1])
                 for i, j in zip(begin[:-1], begin[1:], strict=True):
                     size = int(j - i)
                     sizes.append(size)
@@ -108,7 +113,9 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     two.append(int(b[i:j].sum(dtype=_U).view(np.int64)))
                     alone.append(int((n[i:j] == 0).sum()))
                     kept = size - -(-percent * size // 100) + 1 if size else 0
-                    rare.append(flat[i:j][np.argsort(n[i:j], kind="stable")[:kept]].view(np.int64))
+                    order = np.argsort(n[i:j], kind="stable")[:kept]
+                    rare.append(flat[i:j][order])
+                    last.append({"n": int(n[i:j][order[-1]]), "shingle": int(rare[-1][-1])} if size else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -117,12 +124,13 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     pa.array(two, pa.int64()),
                     B.lists(np.concatenate(rare) if rare else [], np.concatenate([[0], np.cumsum([len(x) for x in rare])]), pa.int64()),
                     pa.array(alone, pa.int64()),
+                    pa.array(last, pa.struct([("n", pa.int64()), ("shingle", pa.int64())])),
                 ],
-                names=["doc_id", "n", "one", "two", "rare", "alone"],
+                names=["doc_id", "n", "one", "two", "rare", "alone", "last"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, one bigint, two bigint, rare array<bigint>, alone bigint"
+        run, "doc_id bigint, n bigint, one bigint, two bigint, rare array<bigint>, alone bigint, last struct<n:bigint,shingle:bigint>"
     )
 
 
@@ -137,7 +145,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             done = 0
             for flat, begin in _sets(batch.column(1), words):
                 n = len(begin) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), B.lists(flat.view(np.int64), begin, pa.int64())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), B.lists(flat, begin, pa.int64())], names=["id", "shingles"])
                 done += n
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where(filter_of(wanted, "id")(F.col("id")))
@@ -158,59 +166,90 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.select("a", "b", (F.col("c") * 100 >= union * percent).alias("linked"), (1 - F.col("c") / union).alias("d"))
 
 
+def _direct(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs of small regions that may link, by how many of their rarest shingles they share.
+
+    Of two sets take the one whose rarest shingles end first in the order. What it holds of them and
+    the other does not is not in the other at all, and a link leaves room for few such shingles.
+    Shingles of crowded regions are not paired here; a pair may share all that it has of those.
+    """
+    side = members.select("shingle", "id", "n")
+    other = side.select("shingle", F.col("id").alias("b"), F.col("n").alias("m"))
+    pairs = side.join(other, "shingle").where((F.col("id") < F.col("b")) & _may_link("n", "m", percent))
+    pairs = pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
+    facts = points.select("id", "n", "crowded", "last", F.size("rare").alias("kept"))
+    for name in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("id").alias(name), F.struct("n", "crowded", "last", "kept").alias(f"of_{name}")), name)
+    first = F.when(F.col("of_a.last") <= F.col("of_b.last"), F.col("of_a")).otherwise(F.col("of_b"))
+    both = F.col("of_a.n") + F.col("of_b.n")
+    shared = F.col("shared") + F.least("of_a.crowded", "of_b.crowded")
+    needed = F.ceil(both * percent / F.lit(100 + percent) - 1e-9)  # common shingles of a link
+    return pairs.where(first["kept"] - shared <= first["n"] - needed).select("a", "b")
+
+
 def links(docs: DataFrame, points: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: linked pairs of ``points`` (id, n, rare, alone) that connect all that is connected."""
-    radius = 1 - percent / 100
+    """a, b: linked pairs of ``points`` (id, n, rare, alone, last) that connect all that is connected."""
     members = points.select("id", "n", "alone", F.explode("rare").alias("shingle"))
-    # the most central set: the fewest shingles of its own
-    centre = F.min(F.struct("alone", "id", "n")).alias("p")
-    pivots = members.groupBy("shingle").agg(F.count("*").alias("size"), centre).where("size > 1")
-    region = stored(
-        members.join(pivots.select("shingle", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "shingle").select(
-            "shingle", "id", "n", "alone", "pivot", "pivot_n"
-        ),
-        "regions",
+    sizes = stored(members.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = stored(members.join(sizes, "shingle"), "regions")
+    crowd = members.where(F.col("size") > SMALL)
+    in_crowds = crowd.groupBy("id").agg(F.count("*").alias("crowded"))
+    known = points.join(in_crowds, "id", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
+    direct = stored(_direct(members.where(F.col("size") <= SMALL), known, percent), "pairs")
+    region = stored(_with_pivots(crowd.select("shingle", "id", "n", "alone")), "crowds")
+    wanted = direct.select(F.col("a").alias("id")).union(direct.select("b")).union(region.select("id")).distinct()
+    sets = stored(_whole_sets(docs, wanted, words), "sets")
+    found = stored(_measured(direct, sets, percent).where("linked").select("a", "b"), "found")
+    while region.limit(1).count():
+        region, new = _divided(region, sets, found, percent)
+        found = stored(found.unionByName(new), "found")
+    return found
+
+
+def _with_pivots(region: DataFrame) -> DataFrame:
+    """Regions with the most central set of each as its pivot: the one with the fewest shingles of its own."""
+    centre = region.groupBy("shingle").agg(F.min(F.struct("alone", "id", "n")).alias("p"))
+    return region.join(centre.select("shingle", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "shingle")
+
+
+def _divided(region: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One step of the recursion: the regions that are left, with new pivots, and the links found."""
+    radius = 1 - percent / 100
+    asked = region.where("id <> pivot").where(_may_link("n", "pivot_n", percent)).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = stored(_measured(asked, sets, percent), "distances")
+    new = near.where("linked").select("a", "b")
+    label = components(found.unionByName(new))
+    # pairs of sizes that exclude a link were not measured: a bound from below and above stands for d
+    by = region.join(near.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "linked", "d"), ["id", "pivot"], "left")
+    own = F.col("id") == F.col("pivot")
+    least = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
+    by = by.withColumn("high", F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
+    by = by.withColumn("d", F.when(own, 0.0).otherwise(F.coalesce("d", least)))
+    by = by.withColumn("inside", own | F.coalesce("linked", F.lit(False)))
+    by = by.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by = stored(by.select("shingle", "id", "n", "alone", "d", "high", "inside", "component"), "by-distance")
+    # who is left: sets outside the pivot's ball, and those inside that one outside may reach
+    outer = by.where("not inside").groupBy("shingle").agg(F.min("d").alias("nearest"))
+    rest = by.join(outer, "shingle").where(~F.col("inside") | (F.col("d") >= F.col("nearest") - radius - 1e-9)).drop("nearest")
+    size = rest.groupBy("shingle").agg(F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("open")).where("open and size > 1")
+    rest = stored(rest.join(size.select("shingle", "size"), "shingle"), "outside")
+    small = rest.where(F.col("size") <= SMALL).select("shingle", "id", "n", "component", "inside", "d", "high")
+    other = small.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "component", "inside", "d", "high")])
+    pairs = small.join(other, "shingle").where(
+        (F.col("id") < F.col("_id"))
+        & (F.col("component") != F.col("_component"))
+        & ~(F.col("inside") & F.col("_inside"))
+        & (F.col("d") - F.col("_high") <= radius + 1e-9)
+        & (F.col("_d") - F.col("high") <= radius + 1e-9)
+        & _may_link("n", "_n", percent)
     )
-    sets = stored(_whole_sets(docs, region.select("id").distinct(), words), "sets")
-    found: DataFrame | None = None
-    while True:
-        asked = region.where("id <> pivot").where(_may_link("n", "pivot_n", percent)).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = stored(_measured(asked, sets, percent), "distances")
-        new = near.where("linked").select("a", "b")
-        found = new if found is None else stored(found.unionByName(new), "found")
-        label = components(found)
-        # who is left: sets outside the pivot's ball, and those inside that one outside may reach
-        by = region.join(near.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "linked", "d"), ["id", "pivot"], "left")
-        least = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        # pairs of sizes that exclude a link were not measured: a bound from below and above stands for d
-        own = F.col("id") == F.col("pivot")
-        by = by.withColumn("high", F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-        by = by.withColumn("d", F.when(own, 0.0).otherwise(F.coalesce("d", least)))
-        by = by.withColumn("inside", (F.col("id") == F.col("pivot")) | F.coalesce("linked", F.lit(False)))
-        by = by.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        by = stored(by.select("shingle", "id", "n", "alone", "d", "high", "inside", "component"), "by-distance")
-        outer = by.where("not inside").groupBy("shingle").agg(F.min("d").alias("nearest"), F.min(F.struct("alone", "id", "n")).alias("p"))
-        rest = by.join(outer, "shingle").where(~F.col("inside") | (F.col("d") >= F.col("nearest") - radius - 1e-9))
-        rest = stored(rest.select("shingle", "id", "n", "alone", "component", "inside", "d", "high", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "outside")
-        size = rest.groupBy("shingle").agg(F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("open")).where("open and size > 1")
-        size = stored(size.select("shingle", "size"), "sizes")
-        small = rest.join(size.where(F.col("size") <= SMALL).select("shingle"), "shingle", "left_semi").select("shingle", "id", "n", "component", "inside", "d", "high")
-        other = small.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "component", "inside", "d", "high")])
-        pairs = small.join(other, "shingle").where(
-            (F.col("id") < F.col("_id"))
-            & (F.col("component") != F.col("_component"))
-            & ~(F.col("inside") & F.col("_inside"))
-            & (F.col("d") - F.col("_high") <= radius + 1e-9)
-            & (F.col("_d") - F.col("high") <= radius + 1e-9)
-            & _may_link("n", "_n", percent)
-        )
-        pairs = stored(pairs.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct(), "pairs")
-        direct = _measured(pairs, sets, percent).where("linked").select("a", "b")
-        found = stored(found.unionByName(direct), "found")
-        region = rest.join(size.where(F.col("size") > SMALL).select("shingle"), "shingle", "left_semi").select("shingle", "id", "n", "alone", "pivot", "pivot_n")
-        if not region.limit(1).count():
-            return found
-        region = stored(region, "regions")
+    pairs = pairs.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+    new = new.unionByName(_measured(pairs, sets, percent).where("linked").select("a", "b"))
+    # the next pivot is one that was outside; what was inside is connected to the old one already
+    left = rest.where(F.col("size") > SMALL)
+    centre = left.where("not inside").groupBy("shingle").agg(F.min(F.struct("alone", "id", "n")).alias("p"))
+    left = left.join(centre.select("shingle", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "shingle")
+    return stored(left.select("shingle", "id", "n", "alone", "pivot", "pivot_n"), "crowds"), stored(new, "new-links")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -219,7 +258,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     identity = ["one", "two", "n"]
     classes = stored(signed.where("n > 0 and doc_id is not null").groupBy(*identity).agg(F.min("doc_id").alias("id")), "classes")
     points = signed.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    points = points.select(F.col("doc_id").alias("id"), "n", "rare", "alone").where("n > 0")
+    points = stored(points.select(F.col("doc_id").alias("id"), "n", "rare", "alone", "last").where("n > 0"), "points")
     label = components(links(docs, points, words, percent))
     own = stored(
         classes.join(label, F.col("id") == F.col("node"), "left").select(*identity, F.coalesce("component", "id").alias("component")),
