@@ -38,6 +38,7 @@ from lanternlog.llm.tables import stored
 SPAN, GRAM = 200, 32
 OFFSETS = SPAN - GRAM + 1
 BLOCK, CROWD = 32, 256
+_SLICE = 1 << 20  # bytes of text whose windows a task holds at once
 _U = np.uint64
 
 
@@ -198,7 +199,7 @@ def _anchored(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, at = B.utf8(batch.column(1))
-            for i, j in B.slices(at):
+            for i, j in B.slices(at, _SLICE):
                 row, start, n, ahead, anchor, segment = anchors(buf[at[i] : at[j]], at[i : j + 1] - at[i])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row + i)), pa.array(start), pa.array(n, pa.int32()), pa.array(ahead, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64))],
