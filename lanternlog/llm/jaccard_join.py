@@ -9,15 +9,18 @@ every window would hold everything. Space is therefore first cut into regions th
 two sets with Jaccard similarity s or more share a shingle among the n - ceil(s n) + 1 rarest of each (an
 order by frequency, any order is exact). The region of a shingle is the sets that hold it among those.
 Regions of one set vanish. In regions of at most ``SMALL`` sets the pairs that share enough of their rarest
-shingles to allow a link are compared directly. In each larger region
-
-1. the most central set is the pivot, and every set of the region gets its exact distance to it (one set
-   is the pivot of many regions, and each pair is measured once). The sets within the radius are the
-   pivot's cell: they are linked to it and settled;
-2. the sets outside are the next region, and boundary sets whose distance to the pivot is within a radius
-   of one outside are replicated into it (the triangle-inequality window);
-3. a region of at most ``SMALL`` sets now compares its pairs directly, a larger one returns to 1 with a
-   new pivot. Pairs already connected, or of sizes that exclude a link, are not compared.
+shingles to allow a link are compared directly. The larger regions are named after their most central set,
+the pivot, and regions of one pivot become one. In each
+
+1. every set gets its exact distance to the pivot. The sets within the radius are the pivot's cell: they
+   are linked to it and settled among each other;
+2. the sets outside are compared with each other and with the boundary sets inside that one outside can
+   reach. Distances are cut into bands of one radius; only adjacent bands meet (the triangle-inequality
+   window), in blocks of bounded chunks, so a large region is many tasks;
+3. a region with more than ``WIDE`` sets outside is divided first: ``PIVOTS`` of them become new pivots,
+   every set goes to its nearest one (Voronoi regions) and is replicated to those whose window it lies in,
+   and each region returns to 1. A region that its pivots did not halve (its sets are all about equally far
+   from each other, which no metric join can prune) is compared as it is, in blocks.
 
 Links between different sets come out as pairs that connect all that is connected, with their exact
 similarity; components are taken over them. Frequencies only order the shingles: what tasks count twice
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternlog.llm import bytes as B
 from lanternlog.llm.bloom import filter_of
@@ -44,6 +47,8 @@ from lanternlog.llm.tables import stored
 WORDS, PERCENT = 4, 85
 FREQUENT, OFTEN = 1 << 18, 16
 SMALL = 48
+PIVOTS, WIDE = 16, 1 << 14
+CHUNK = 1 << 17  # shingles that the sets of one chunk of a block hold, about
 _U = np.uint64
 _FACTORS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5), _U(0x85EBCA77C2B2AE63)]
 
@@ -196,60 +201,166 @@ def links(docs: DataFrame, points: DataFrame, words: int = WORDS, percent: int =
     in_crowds = crowd.groupBy("id").agg(F.count("*").alias("crowded"))
     known = points.join(in_crowds, "id", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
     direct = stored(_direct(members.where(F.col("size") <= SMALL), known, percent), "pairs")
-    region = stored(_with_pivots(crowd.select("shingle", "id", "n", "alone")), "crowds")
+    region = stored(_with_pivots(crowd), "crowds")
     wanted = direct.select(F.col("a").alias("id")).union(direct.select("b")).union(region.select("id")).distinct()
     sets = stored(_whole_sets(docs, wanted, words), "sets")
-    found = stored(_measured(direct, sets, percent).where("linked").select("a", "b"), "found")
-    while region.limit(1).count():
-        region, new = _divided(region, sets, found, percent)
-        found = stored(found.unionByName(new), "found")
-    return found
+    near = _measured(direct, sets, percent).where("linked").select("a", "b")
+    return stored(near.unionByName(_crowded(region, sets, percent)), "found")
+
 
+def _with_pivots(crowd: DataFrame) -> DataFrame:
+    """pivot, id: crowded regions under their most central sets, those with the fewest shingles of their own.
+
+    Regions of one pivot become one region, so the many shingles that one group of near copies shares
+    are one region or a few.
+    """
+    centre = crowd.groupBy("shingle").agg(F.min(F.struct("alone", "id")).alias("p"))
+    return crowd.join(centre.select("shingle", F.col("p.id").alias("pivot")), "shingle").select("pivot", "id").distinct()
 
-def _with_pivots(region: DataFrame) -> DataFrame:
-    """Regions with the most central set of each as its pivot: the one with the fewest shingles of its own."""
-    centre = region.groupBy("shingle").agg(F.min(F.struct("alone", "id", "n")).alias("p"))
-    return region.join(centre.select("shingle", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "shingle")
 
+def _distances(region: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of a region (pivot, id and more) with n, the exact distance d to the pivot, and whether it links."""
+    pivots = sets.join(region.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi")
+    pivots = stored(pivots.select(F.col("id").alias("pivot"), F.col("shingles").alias("_of")), "pivots")
+    common = F.size(F.array_intersect("shingles", "_of"))
+    rows = region.join(sets, "id").join(pivots, "pivot")
+    rows = rows.withColumn("_c", common.cast("bigint")).withColumn("n", F.size("shingles").cast("bigint"))
+    union = F.col("n") + F.size("_of") - F.col("_c")
+    rows = rows.withColumn("d", 1 - F.col("_c") / union).withColumn("linked", F.col("_c") * 100 >= union * percent)
+    return rows.drop("shingles", "_of", "_c")
 
-def _divided(region: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One step of the recursion: the regions that are left, with new pivots, and the links found."""
+
+def _crowded(region: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs a, b of the regions (pivot, id) that connect all that is connected in them."""
     radius = 1 - percent / 100
-    asked = region.where("id <> pivot").where(_may_link("n", "pivot_n", percent)).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = stored(_measured(asked, sets, percent), "distances")
-    new = near.where("linked").select("a", "b")
-    label = components(found.unionByName(new))
-    # pairs of sizes that exclude a link were not measured: a bound from below and above stands for d
-    by = region.join(near.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "linked", "d"), ["id", "pivot"], "left")
-    own = F.col("id") == F.col("pivot")
-    least = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-    by = by.withColumn("high", F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-    by = by.withColumn("d", F.when(own, 0.0).otherwise(F.coalesce("d", least)))
-    by = by.withColumn("inside", own | F.coalesce("linked", F.lit(False)))
-    by = by.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by = stored(by.select("shingle", "id", "n", "alone", "d", "high", "inside", "component"), "by-distance")
-    # who is left: sets outside the pivot's ball, and those inside that one outside may reach
-    outer = by.where("not inside").groupBy("shingle").agg(F.min("d").alias("nearest"))
-    rest = by.join(outer, "shingle").where(~F.col("inside") | (F.col("d") >= F.col("nearest") - radius - 1e-9)).drop("nearest")
-    size = rest.groupBy("shingle").agg(F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("open")).where("open and size > 1")
-    rest = stored(rest.join(size.select("shingle", "size"), "shingle"), "outside")
-    small = rest.where(F.col("size") <= SMALL).select("shingle", "id", "n", "component", "inside", "d", "high")
-    other = small.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("id", "n", "component", "inside", "d", "high")])
-    pairs = small.join(other, "shingle").where(
-        (F.col("id") < F.col("_id"))
-        & (F.col("component") != F.col("_component"))
-        & ~(F.col("inside") & F.col("_inside"))
-        & (F.col("d") - F.col("_high") <= radius + 1e-9)
-        & (F.col("_d") - F.col("high") <= radius + 1e-9)
-        & _may_link("n", "_n", percent)
-    )
-    pairs = pairs.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
-    new = new.unionByName(_measured(pairs, sets, percent).where("linked").select("a", "b"))
-    # the next pivot is one that was outside; what was inside is connected to the old one already
-    left = rest.where(F.col("size") > SMALL)
-    centre = left.where("not inside").groupBy("shingle").agg(F.min(F.struct("alone", "id", "n")).alias("p"))
-    left = left.join(centre.select("shingle", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "shingle")
-    return stored(left.select("shingle", "id", "n", "alone", "pivot", "pivot_n"), "crowds"), stored(new, "new-links")
+    rows = stored(_distances(region.withColumn("room", F.lit(2**62)), sets, percent), "distances")
+    found = []
+    while True:
+        found.append(rows.where("linked and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        # who is left: sets outside the pivot's ball, and those inside that one outside may reach
+        outer = rows.where("not linked").groupBy("pivot").agg(F.min("d").alias("nearest"), F.count("*").alias("outers"))
+        rest = rows.join(outer, "pivot").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - radius - 1e-9)).drop("nearest")
+        size = rest.groupBy("pivot").agg(F.count("*").alias("size"))
+        rest = stored(rest.join(size, "pivot"), "outside")
+        # a region that its parent's pivots did not halve is compared as it is
+        wide = (F.col("outers") > WIDE) & (F.col("size") <= F.col("room"))
+        found.append(_blocks(rest.where(~wide).select("pivot", "id", "n", "d", "linked"), sets, percent))
+        rest = rest.where(wide)
+        if not rest.limit(1).count():
+            break
+        rows = stored(_divided(rest, sets, percent), "cells")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _divided(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Regions under new pivots, drawn among the sets outside the old pivot's ball.
+
+    A set belongs to its nearest pivot; where y lies within the radius r of x and belongs to p, the triangle
+    inequality gives d(x, p) <= d(x, own pivot of x) + 2 r. Sets in that window are replicated.
+    """
+    radius = 1 - percent / 100
+    drawn = rest.where("not linked").select("pivot", "id", F.xxhash64("id").alias("_h"))
+    lowest = Window.partitionBy("pivot").orderBy("_h", "id")
+    drawn = drawn.withColumn("_k", F.row_number().over(lowest)).where(F.col("_k") <= PIVOTS).select("pivot", F.col("id").alias("new"))
+    asked = rest.join(drawn, "pivot").select(F.col("new").alias("pivot"), "id", F.col("pivot").alias("old"), F.ceil(F.col("size") / 2).cast("bigint").alias("room"))
+    measured = stored(_distances(asked, sets, percent), "distances")
+    nearest = measured.groupBy("old", "id").agg(F.min("d").alias("own"))
+    rows = measured.join(nearest, ["old", "id"]).where(F.col("d") <= F.col("own") + 2 * radius + 1e-9)
+    # one pivot may be drawn in several regions; they become one
+    return rows.groupBy("pivot", "id").agg(*[F.first(c).alias(c) for c in ("n", "d", "linked")], F.max("room").alias("room"))
+
+
+def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the sets outside a pivot's ball and all sets whose distance to the pivot is close to theirs.
+
+    Distances are cut into bands as wide as the radius; a set outside meets its own and the adjacent bands.
+    Sets of a band are dealt into chunks by the shingles they hold, and each pair of chunks is one block.
+    """
+    radius = 1 - percent / 100
+    rest = rest.withColumn("band", F.floor(F.col("d") / radius))
+    outers = rest.where("not linked").groupBy("pivot", "band").agg(F.ceil(F.sum("n") / CHUNK).alias("left"))
+    reach = rest.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    sides = reach.groupBy("pivot", "band").agg(F.ceil(F.sum("n") / CHUNK).alias("right"))
+    bands = stored(outers.join(sides, ["pivot", "band"]), "bands")
+    chunk = lambda of: F.pmod(F.xxhash64("id"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
+    one = rest.where("not linked").join(bands, ["pivot", "band"]).select("pivot", "band", chunk("left").alias("x"), every("right").alias("y"), F.lit(0).alias("side"), "id")
+    two = reach.join(bands, ["pivot", "band"]).select("pivot", "band", every("left").alias("x"), chunk("right").alias("y"), F.lit(1).alias("side"), "id")
+    place = ["pivot", "band", "x", "y"]
+    dealt = one.unionByName(two).join(sets, "id").select(F.xxhash64(*place).alias("block"), *place, "side", "id", "shingles")
+    dealt = dealt.repartition("block").sortWithinPartitions(*place, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, known = None, _Chunk(percent)
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(1, 6)), batch.column(6).to_pylist(), strict=True))
+            lists = batch.column(7)
+            flat, at = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            a, b = [], []
+            for i, (*key, side, name) in enumerate(keys):
+                if key != block:
+                    block, known = key, _Chunk(percent)
+                own = flat[at[i] : at[i + 1]]
+                if not side:
+                    known.add(name, own)
+                else:
+                    for other, end in known.linked(name, own):
+                        a.append(other)
+                        b.append(end)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return stored(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "block-links")
+
+
+class _Chunk:
+    """Sets side by side; tells which of them a further set is linked to, leaving out what is connected already."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.names: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.index: tuple[np.ndarray, np.ndarray] | None = None
+        self.joined: list[int] = []
+
+    def add(self, name: int, own: np.ndarray) -> None:
+        self.joined.append(len(self.names))
+        self.names.append(name)
+        self.sets.append(own)
+
+    def _root(self, i: int) -> int:
+        while self.joined[i] != i:
+            self.joined[i] = i = self.joined[self.joined[i]]
+        return i
+
+    def linked(self, name: int, own: np.ndarray) -> list[tuple[int, int]]:
+        if not self.sets:
+            return []
+        if self.index is None:
+            self.size = np.array([len(s) for s in self.sets])
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            self.index = flat[order], np.repeat(np.arange(len(self.sets)), self.size)[order]
+        keys, owner = self.index
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        n = hi - lo
+        where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[where], minlength=len(self.sets))
+        out = []
+        first = -1
+        for i in np.flatnonzero(common * 100 >= (self.size + len(own) - common) * self.percent).tolist():
+            if self.names[i] == name:
+                continue
+            root = self._root(i)
+            if first < 0:
+                out.append((name, self.names[i]))
+                first = root
+            elif root != first:
+                out.append((name, self.names[i]))
+                self.joined[root] = first
+        return out
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
