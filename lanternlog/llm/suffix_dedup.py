@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.llm import bytes as B
-from lanternlog.llm.bloom import filter_of
+from lanternlog.llm.bloom import bits_of, filter_of, test_of, within
 from lanternlog.llm.tables import stored
 
 SPAN, GRAM = 200, 32
@@ -193,20 +193,33 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 _PLACE = "key bigint, start bigint, n int, ahead int, anchor bigint, segment bigint"
 
 
-def _anchored(texts: DataFrame) -> DataFrame:
-    """All anchors of the texts (key, text)."""
+def _anchored(texts: DataFrame, one: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """Anchors of the texts (key, text, mark): of those whose mark is null or in the filter ``one``.
+
+    ``wanted`` is a filter of anchors. Both are looked up where the anchors are made: rows that they refuse
+    never leave the task's Python worker, and no second worker holds batches beside it.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((one, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, wanted = shared.value
         for batch in batches:
+            mark = batch.column(2)
+            kept = np.array(mark.is_null()) | within(one, mark.fill_null(0).to_numpy())
+            batch = batch.filter(pa.array(kept))
             buf, at = B.utf8(batch.column(1))
             for i, j in B.slices(at, _SLICE):
-                row, start, n, ahead, anchor, segment = anchors(buf[at[i] : at[j]], at[i : j + 1] - at[i])
+                row, *rest = anchors(buf[at[i] : at[j]], at[i : j + 1] - at[i])
+                if wanted is not None:
+                    some = within(wanted, rest[3].view(np.int64))
+                    row, rest = row[some], [x[some] for x in rest]
+                start, n, ahead, anchor, segment = rest
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row + i)), pa.array(start), pa.array(n, pa.int32()), pa.array(ahead, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64))],
                     names=["key", "start", "n", "ahead", "anchor", "segment"],
                 )
 
-    return texts.mapInArrow(run, _PLACE)
+    return texts.select("key", "text", "mark").mapInArrow(run, _PLACE)
 
 
 def _compared(segments: DataFrame) -> DataFrame:
@@ -272,13 +285,15 @@ def _uncrowded(segments: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return out, known
 
 
-def _ranges(rows: DataFrame) -> DataFrame:
-    """key and the byte ranges to remove, for texts that repeat in part; texts that occur once or stand for others."""
-    texts = rows.select("key", "text")
-    twice = _anchored(texts).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+def _ranges(texts: DataFrame, one: np.ndarray) -> DataFrame:
+    """key and the byte ranges to remove, for texts (key, text, mark) that occur once or stand for others.
+
+    ``one`` is the filter of the marks that take part; a null mark does.
+    """
+    twice = _anchored(texts, one).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     twice = stored(twice, "anchors")
-    places = _anchored(texts)
-    places = stored(places.where(filter_of(twice, "anchor")(F.col("anchor"))).join(twice, "anchor", "left_semi"), "places")
+    places = _anchored(texts, one, bits_of(twice, "anchor"))
+    places = stored(places.join(twice, "anchor", "left_semi"), "places")
     # one of each segment stands for all that are equal to it
     each = places.groupBy("anchor", "segment").agg(
         F.count("*").alias("times"), F.min(F.struct("key", "start", "n", "ahead")).alias("at")
@@ -287,7 +302,8 @@ def _ranges(rows: DataFrame) -> DataFrame:
     many = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = each.join(many, "anchor", "left_semi").select("at.*", "anchor", "segment")
     wanted = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "ahead", "anchor", "segment")).alias("of")), "wanted")
-    source = texts.where(filter_of(wanted, "key")(F.col("key"))).join(wanted, "key")
+    stands = F.col("mark").isNull() | test_of(texts.sparkSession, one)(F.col("mark"))
+    source = texts.where(filter_of(wanted, "key")(F.col("key")) & stands).select("key", "text").join(wanted, "key")
     cut = source.select(F.col("text").cast("binary").alias("text"), F.explode("of").alias("s")).select(
         F.col("s.anchor").alias("group"),
         "s.anchor",
@@ -316,8 +332,9 @@ def report(docs: DataFrame) -> DataFrame:
     classes = rows.where(F.col("n_bytes") >= SPAN).groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
     classes = stored(classes, "texts")
     # one text of each kind takes part; a few more that the filter lets through do no harm
-    one = filter_of(classes.where("one is not null"), "one")(F.col("doc_id")) | F.col("doc_id").isNull()
-    ranges = _ranges(rows.where(one & (F.col("n_bytes") >= SPAN)))
+    mark = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    one = bits_of(classes.where("one is not null").select(F.xxhash64("one").alias("mark")), "mark")
+    ranges = _ranges(rows.where(F.col("n_bytes") >= SPAN).select("key", "text", mark.alias("mark")), one)
     some = ranges.join(classes.where("copies > 1").select("key", F.lit(True).alias("whole")), "key", "full_outer")
     some = stored(some, "ranges")
     maybe = filter_of(some, "key")(F.col("key"))
