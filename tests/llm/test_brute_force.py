@@ -71,6 +71,26 @@ def components(docs, n, percent):
     return sorted((doc_id, len(sets[k]), least[root(k)]) for k, (doc_id, _) in enumerate(docs))
 
 
+def test_crowded_regions_are_divided_exactly(spark, monkeypatch):
+    """A large group of near copies, some far from its centre, through pivots, windows and blocks."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "WIDE", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 400)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            own[rng.randrange(60)] = f"e{rng.randrange(6)}"
+        docs.append((k, " ".join(own[rng.choice([0, 0, 3]) :])))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for n, percent in ((4, 85), (5, 80)):
+        got = [tuple(r) for r in jaccard_join.join(frame, n, percent).select("doc_id", "n_shingles", "component_id").collect()]
+        assert sorted(got) == components(docs, n, percent)
+
+
 def test_jaccard_join_equals_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(300)]
