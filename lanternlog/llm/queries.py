@@ -7,7 +7,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternlog.llm import ctw, decontaminate, jaccard_join, licenses, mixing, neighbours, pii, quality, suffix_dedup, token_counts
+from lanternlog.llm import (
+    ctw,
+    decontaminate,
+    filter_audit,
+    jaccard_join,
+    licenses,
+    mixing,
+    neighbours,
+    pii,
+    quality,
+    suffix_dedup,
+    token_counts,
+)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -189,3 +201,44 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+d AS (
+  SELECT part,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+     100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic FROM t),
+cell AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest(range(1, 6)) AS i),
+o AS (
+  SELECT '' AS names, []::BIGINT[] AS turn
+  UNION ALL SELECT names || name, list_append(turn, i) FROM o, f WHERE NOT list_contains(turn, i)),
+s AS (SELECT names, turn, unnest(range(1, 6)) AS step FROM o WHERE len(turn) = 5),
+x AS (
+  SELECT part, names, turn, step, n, good, toxic, fails[turn[step]] AS failing,
+    list_bool_or(list_transform(turn[:step - 1], lambda i: fails[i])) IS TRUE AS gone,
+    NOT list_bool_or(list_transform(list_filter([1, 2, 3, 4, 5], lambda i: i <> turn[step]), lambda i: fails[i])) AS alone
+  FROM cell, s),
+r AS (
+  SELECT part, names AS filter_order, CAST(step AS INT) AS step, turn[step] AS i,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone AND failing), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (failing AND alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY part, names, turn, step)
+SELECT * EXCLUDE (i), CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM r
+"""
+
+
+@_query("op12_filter_audit", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
