@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanternlog.llm import (
     ctw,
     decontaminate,
+    divergence,
     filter_audit,
     jaccard_join,
     licenses,
@@ -242,3 +243,35 @@ SELECT * EXCLUDE (i), CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) A
 @_query("op12_filter_audit", _OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+_OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+l AS (SELECT lang, term, n_lang, 1 + 1000000000::HUGEINT * (n_lang + 1)
+    // (sum(n_lang) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM k),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN k USING (lang)
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1)
+    // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM c),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+  FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+@_query("op13_divergence", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
