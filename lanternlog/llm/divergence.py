@@ -56,8 +56,8 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of terms per group, for runs of rows that hold at most about HELD terms."""
+def _count(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of terms per group, for runs of rows that hold at most about ``most`` terms."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
@@ -87,18 +87,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine.update(tokens)
             docs.update(mine)
             size += len(n)
-            if size > HELD:
+            if size > most:
                 yield from out()
                 size = 0
     yield from out()
 
 
-def counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def counts(docs: DataFrame, min_docs: int = MIN_DOCS, held: int = HELD) -> DataFrame:
     """Rows (lang, term, source, n, in_lang, first): counts above zero of the terms that a language keeps;
     ``in_lang`` is the term's count there, ``first`` is 1 in one row of each (lang, term)."""
     empty = F.lit("")
     rows = docs.select(*(F.coalesce(c, empty).alias(c) for c in ("lang", "source", "text")))
-    found = rows.mapInArrow(_count, "lang string, source string, term string, n bigint, docs bigint")
+    found = rows.mapInArrow(lambda batches: _count(batches, held), "lang string, source string, term string, n bigint, docs bigint")
     # dealt out by (lang, term) once: the sum per source, the sums per term and the filter need no other shuffle
     by_source = (
         found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -229,8 +229,8 @@ _TILE = ["lang", "block", "low", "high"]
 _SUMS = "lang string, source string, item string, terms bigint, bare bigint, value bigint, columns bigint"
 
 
-def _tile(table: pa.Table) -> pa.Table:
-    """Pairs of the groups of one tile: their price over its columns, one absent term's price, and its columns."""
+def _tile(table: pa.Table, height: int) -> pa.Table:
+    """Pairs of the groups of one tile of ``height`` rows: their price over its columns, one absent term's price, and its columns."""
     lang = table.column("lang")[0].as_py()
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     here = table.filter(pc.is_null(table.column("term")))
@@ -245,17 +245,17 @@ def _tile(table: pa.Table) -> pa.Table:
     rank = np.empty(columns, np.int64)  # terms of many groups first, so that what is empty lies together
     rank[np.argsort(-np.bincount(code, minlength=columns), kind="stable")] = np.arange(columns)
     row, n = cells.column("row").to_numpy(), cells.column("n").to_numpy()
-    most = max(int((members % ROWS).max(initial=0)) + 1, LEAF)
+    most = max(int((members % height).max(initial=0)) + 1, LEAF)
     side = 1 << (most - 1).bit_length()
     squares = max(1, -(-columns // side))
 
     def part(block: int) -> tuple[Tree, np.ndarray, dict[int, str]]:
-        mine = row // ROWS == block
-        tree = Tree(row[mine] % ROWS, rank[code[mine]], n[mine], side, squares)
+        mine = row // height == block
+        tree = Tree(row[mine] % height, rank[code[mine]], n[mine], side, squares)
         over = np.ones(side, np.int64)
-        inside = members // ROWS == block
-        over[members[inside] % ROWS] = np.maximum(totals[inside] + terms, 1)
-        return tree, over, {int(m) % ROWS: s for m, s, k in zip(members, names, inside) if k}
+        inside = members // height == block
+        over[members[inside] % height] = np.maximum(totals[inside] + terms, 1)
+        return tree, over, {int(m) % height: s for m, s, k in zip(members, names, inside) if k}
 
     a, over_a, named_a = part(low)
     b, over_b, named_b = part(high) if high != low else (a, over_a, named_a)
@@ -290,11 +290,11 @@ def _tile(table: pa.Table) -> pa.Table:
     )
 
 
-def pairs(kept: DataFrame, known: DataFrame) -> DataFrame:
+def pairs(kept: DataFrame, known: DataFrame, height: int = ROWS, width: int = WIDTH) -> DataFrame:
     """Rows (lang, source, item, value): the divergence of every group from every other of its language."""
-    blocks = F.greatest(F.ceil(F.col("terms") / WIDTH), F.lit(1)).cast("int")
-    part = F.col("row") / F.lit(ROWS)
-    strips = (F.floor(F.col("last") / F.lit(ROWS)) + 1).cast("int")
+    blocks = F.greatest(F.ceil(F.col("terms") / width), F.lit(1)).cast("int")
+    part = F.col("row") / F.lit(height)
+    strips = (F.floor(F.col("last") / F.lit(height)) + 1).cast("int")
     sized = known.withColumn("last", F.max("row").over(Window.partitionBy("lang"))).select(
         "lang", "source", "row", "total", "terms", blocks.alias("blocks"), strips.alias("strips"), F.floor(part).cast("int").alias("strip")
     )
@@ -338,7 +338,7 @@ def pairs(kept: DataFrame, known: DataFrame) -> DataFrame:
         "n",
         "terms",
     )
-    sums = tiles.groupBy(*_TILE).applyInArrow(_tile, _SUMS)
+    sums = tiles.groupBy(*_TILE).applyInArrow(lambda table: _tile(table, height), _SUMS)
     return (
         sums.groupBy("lang", "source", "item", "terms", "bare")
         .agg(F.sum("value").alias("value"), F.sum("columns").alias("columns"))
@@ -363,13 +363,15 @@ def overused(kept: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("lang", "source", "item", _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(
+    docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, height: int = ROWS, width: int = WIDTH, held: int = HELD
+) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): part ``pair`` ranks all other sources by divergence, part
     ``term`` the ``top`` terms that set a source apart from its language."""
-    kept = stored(counts(docs, min_docs), "group-term-counts")
+    kept = stored(counts(docs, min_docs, held), "group-term-counts")
     known = stored(groups(docs, kept), "groups")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     shape = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
-    others = pairs(kept, known).withColumn("rank", rank)
+    others = pairs(kept, known, height, width).withColumn("rank", rank)
     terms = overused(kept, known).withColumn("rank", rank).where(F.col("rank") <= top)
     return shape(others, "pair").unionByName(shape(terms, "term"))

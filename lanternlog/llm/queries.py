@@ -14,6 +14,7 @@ from lanternlog.llm import (
     filter_audit,
     jaccard_join,
     licenses,
+    main_text,
     mixing,
     neighbours,
     pii,
@@ -275,3 +276,8 @@ FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR
 @_query("op13_divergence", _OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_main_text")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
