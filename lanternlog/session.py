@@ -7,13 +7,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime-settable options: instants are compared with an oracle in UTC, and the
-# adaptive planner does the join switching and skew splitting the operators count on.
+# Runtime-settable options: instants are compared with an oracle in UTC, the adaptive
+# planner does the join switching and skew splitting the operators count on, and a batch
+# handed to Python is bounded in bytes, so that long texts come a few at a time.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 
