@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanternlog import session
 from lanternlog.llm import (
     ctw,
     decontaminate,
@@ -29,6 +30,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    session.pin(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
