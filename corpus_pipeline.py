@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanternlog import session
 from lanternlog.llm import decontaminate, jaccard_join, mixing, pii, quality
 from lanternlog.llm.tables import stored
 
@@ -16,6 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    session.pin(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
