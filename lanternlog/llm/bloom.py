@@ -8,20 +8,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: 64-bit words of the filter; what is broadcast is this large, however many ids there are.
-WORDS = 1 << 18
+#: 64-bit words of the smallest and the largest filter. What is broadcast is 16 MB at most; up to eight million ids
+#: it holds sixteen bits for each. Beyond, more and more rows pass, and it only saves less: no row is lost.
+LEAST, MOST = 1 << 12, 1 << 21
+_BITS = 16
 
 
-def _place(h: Column) -> tuple[Column, Column]:
-    return F.pmod(h, F.lit(WORDS)), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+def _place(h: Column, words: int) -> tuple[Column, Column]:
+    return F.pmod(h, F.lit(words)), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
 
 
 def bits_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """The filter of a column of 64-bit hashes (bigint), for ``within``."""
-    word, bit = _place(F.col(column))
+    """The filter of a column of 64-bit hashes (bigint) in a written table, for ``within``; sized by its rows."""
+    words = LEAST
+    wanted = hashes.count() * _BITS // 64
+    while words < min(wanted, MOST):
+        words *= 2
+    word, bit = _place(F.col(column), words)
     bits = hashes.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b"))
     rows = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(WORDS, np.uint64)
+    table = np.zeros(words, np.uint64)
     table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
     return table
 
@@ -29,7 +35,7 @@ def bits_of(hashes: DataFrame, column: str) -> np.ndarray:
 def within(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes (int64) may be in the filter; those refused are certainly not."""
     h = hashes.view(np.uint64)
-    return (table[h & np.uint64(WORDS - 1)] >> ((h >> np.uint64(40)) & np.uint64(63))) & np.uint64(1) == 1
+    return (table[h & np.uint64(len(table) - 1)] >> ((h >> np.uint64(40)) & np.uint64(63))) & np.uint64(1) == 1
 
 
 def test_of(spark: SparkSession, table: np.ndarray) -> Callable[[Column], Column]:

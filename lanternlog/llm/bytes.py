@@ -6,12 +6,15 @@ Helpers of the operators; they run inside tasks on one Arrow batch, cut into sli
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once in a task; a longer document is a slice of its own.
-SLICE = 4 << 20
+SLICE = 512 << 10
+#: Ranges hashed at once, and the length from which a range is hashed by itself.
+_AT_ONCE, _LONG = 1 << 16, 256
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -53,14 +56,17 @@ def slices(at: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE + 1024)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            run = np.full(size, b, _U)
-            run[0] = 1
-            _powers[k] = np.multiply.accumulate(run)
-    return _powers[0][:n], _powers[1][:n]
+    """base^i and base^-i modulo 2^64 for i < n. Only tables of a slice's size are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    tables = []
+    for b in (_BASE, pow(_BASE, -1, 2**64)):
+        run = np.full(max(n, SLICE + 1024), b, _U)
+        run[0] = 1
+        tables.append(np.multiply.accumulate(run))
+    if n <= 4 * SLICE:
+        _powers[:] = tables
+    return tables[0][:n], tables[1][:n]
 
 
 def prefix_hashes(buf: np.ndarray) -> np.ndarray:
@@ -72,7 +78,11 @@ def prefix_hashes(buf: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges from their prefix hashes."""
+    """64-bit hashes of byte ranges from their prefix hashes.
+
+    For short ranges that are looked at again byte by byte, or whose meeting costs nothing: polynomials modulo a power
+    of two give one hash to some long strings that differ.
+    """
     _, down = powers(len(h))
     return mix((h[end] - h[start]) * down[start])
 
@@ -86,6 +96,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], _U)
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time are stirred into a state that begins with the length."""
+    buf = np.ascontiguousarray(np.append(buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+    out = np.empty(len(start), _U)
+    for a in range(0, len(start), _AT_ONCE):
+        at = start[a : a + _AT_ONCE]
+        left = end[a : a + _AT_ONCE] - at
+        state = mix(left.astype(_U) + _U(_BASE))
+        for k in np.flatnonzero(left > _LONG):
+            state[k] = int.from_bytes(blake2b(buf[at[k] : at[k] + left[k]].tobytes(), digest_size=8).digest(), "little")
+        todo = np.flatnonzero((left > 0) & (left <= _LONG))
+        done = 0
+        while len(todo):
+            rest = left[todo] - done
+            state[todo] = mix((state[todo] * _U(_BASE)) ^ (eight[at[todo] + done] & _HEADS[np.minimum(rest, 8)]))
+            done += 8
+            todo = todo[rest > 8]
+        out[a : a + len(at)] = state
+    return out
+
+
 def words(buf: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends, and per row the index of its first word (one more than rows).
 
@@ -107,7 +142,7 @@ def word_hashes(buf: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.n
     """Hashes of the lower-cased words in order, and per row the index of its first word."""
     low = LOWER[buf]
     start, end, first = words(low, at, kind)
-    return range_hashes(prefix_hashes(low), start, end), first
+    return hashes(low, start, end), first
 
 
 def lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -82,7 +82,7 @@ def find(buf: np.ndarray, at: np.ndarray, index: Index, threshold: float) -> lis
     start, end, first = B.words(low, at, B.ALNUM)
     if len(start) < 2 or not len(index.pairs):
         return []
-    pairs = _pairs(B.range_hashes(B.prefix_hashes(low), start, end))
+    pairs = _pairs(B.hashes(low, start, end))
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     slot = np.minimum(np.searchsorted(index.pairs, pairs), len(index.pairs) - 1)
     known = index.pairs[slot] == pairs
