@@ -7,8 +7,9 @@ diagonal join to the longest verbatim matches. A document lies whole in one shar
 shuffled. Suffixes that reach a word foreign to the benchmark before the shortest window ends cannot
 hold a window and are left out of the array (a sparse suffix array; exact).
 
-The benchmark is cut into blocks of ``block_bytes`` of text. One block is broadcast at a time and each
-adds its hits to the rows that pass, so its size is bounded however long the benchmark is.
+The benchmark is cut into blocks of about ``block_bytes`` of text. ``AT_ONCE`` of them are broadcast together and
+looked up one after another in the words of a shard, which are hashed once; a longer benchmark takes further passes,
+with the rows written between, so what a task and the driver hold is bounded however long the benchmark is.
 
 Defined cases: a null or empty text has no words; an item without id, text or words is ignored; rows
 of one ``item_id`` are one item; repeated documents each get their row; an empty benchmark leaves
@@ -18,15 +19,19 @@ every document clean.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.llm import bytes as B
+from lanternlog.llm.tables import stored
 
 WINDOW = 13
 SHARE = 20  # contaminated when one word in this many is hit
+AT_ONCE = 8  # blocks of the benchmark in one pass
+_WORDS = 1 << 20  # words looked up at once
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -113,12 +118,12 @@ def search(hashes: np.ndarray, first: np.ndarray, q: Queries) -> list[tuple[np.n
     n_rows = len(first) - 1
     if not len(hashes) or not len(q.starts):
         return none, none, none
-    slot = np.minimum(np.searchsorted(q.vocabulary, hashes), len(q.vocabulary) - 1)
-    ids = np.where(q.vocabulary[slot] == hashes, slot + 1, 0)
-    row = np.repeat(np.arange(n_rows), np.diff(first))
-    text = np.zeros(len(ids) + n_rows + WINDOW + q.longest, np.int64)
-    place = np.arange(len(ids)) + row  # a 0 after each row
-    text[place] = ids
+    text = np.zeros(len(hashes) + n_rows + WINDOW + q.longest, np.int32)
+    for a in range(0, len(hashes), _WORDS):
+        some = hashes[a : a + _WORDS]
+        slot = np.minimum(np.searchsorted(q.vocabulary, some), len(q.vocabulary) - 1)
+        row = np.searchsorted(first, np.arange(a, a + len(some)), "right") - 1
+        text[np.arange(a, a + len(some)) + row] = np.where(q.vocabulary[slot] == some, slot + 1, 0)  # a 0 after each row
     zeros = np.flatnonzero(text == 0)
     live = np.flatnonzero(text)
     if not len(live):
@@ -142,8 +147,8 @@ def search(hashes: np.ndarray, first: np.ndarray, q: Queries) -> list[tuple[np.n
     return r, there - base[r], which
 
 
-def _add(q: Queries, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch with the block's hits added to n_words, spans, items and longest."""
+def _add(blocks: Sequence[Queries], batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with the blocks' hits added to n_words, spans, items and longest."""
     names = batch.schema.names
     buf, at = B.utf8(batch.column(names.index("text")))
     n_words, spans, items, longest = [], [], [], []
@@ -152,9 +157,11 @@ def _add(q: Queries, batch: pa.RecordBatch) -> pa.RecordBatch:
         own, began = buf[at[i] : at[j]], at[i : j + 1] - at[i]
         hashes, first = B.word_hashes(own, began, B.ALNUM)
         n_words.append(np.diff(first))
-        row, pos, which = search(hashes, first, q)
         by_row: dict[int, tuple[list, set, list]] = {}
-        if len(row):
+        for q in blocks:
+            row, pos, which = search(hashes, first, q)
+            if not len(row):
+                continue
             # the longest verbatim matches: hits of one row and item on one diagonal
             order = np.lexsort((pos, pos - q.starts[which], q.owner[which], row))
             row, pos, which = row[order], pos[order], which[order]
@@ -211,15 +218,20 @@ def matches(
         F.lit(0).cast("bigint").alias("longest"),
     )
     schema = out.schema
-    for items in _blocks(benchmark, block_bytes):
-        block = spark.sparkContext.broadcast(items)
+    blocks = _blocks(benchmark, block_bytes)
+    some = list(islice(blocks, AT_ONCE))
+    while some:
+        shared = spark.sparkContext.broadcast(some)
 
-        def add(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            q = Queries(block.value, window)
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            queries = [Queries(items, window) for items in shared.value]
             for batch in batches:
-                yield _add(q, batch)
+                yield _add(queries, batch)
 
         out = out.mapInArrow(add, schema)
+        some = list(islice(blocks, AT_ONCE))
+        if some:
+            out = stored(out, "decontaminated")
     return out
 
 

@@ -131,3 +131,47 @@ def test_neighbours_recall_and_exact_scores(spark):
         hits += len({k for _, k in best} & {r["vec_id"] for r in mine})
     assert len(got) == 10 * len(queries)
     assert hits >= 0.9 * 10 * len(queries)
+
+
+def test_decontamination_in_many_passes(spark, monkeypatch):
+    """A benchmark of many blocks, two in a pass, finds what one block finds."""
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choices(["Wort", "été", "x1", "the", "of", "a"], k=n))
+    items = [(k, prose(rng.randint(1, 30))) for k in range(25)]
+    docs = [(k, f"{prose(20)} {rng.choice(items)[1]} {prose(9)}") for k in range(40)] + [(99, None)]
+    left = spark.createDataFrame(docs, "doc_id bigint, text string")
+    right = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.judge(decontaminate.matches(left, right, block_bytes=900))
+    got = [(r["doc"]["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), r["contaminated"]) for r in found.collect()]
+    assert sorted(got) == sorted((d, n, h, i, c) for d, n, h, i, _, c in contaminated(docs, items))
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_long_words_that_fool_polynomials(spark):
+    """The Thue-Morse word and its mirror have one hash modulo any power of two."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = [(k, " ".join([w] * 4)) for k, w in enumerate([one, other, one[:-1], "x" * 300, "x" * 301])]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(table).collect()}
+    assert got == {k: k for k in range(5)}
+    items = spark.createDataFrame([(1, one)], "item_id bigint, text string")
+    assert [r["doc_id"] for r in decontaminate.report(table, items).where("contaminated").collect()] == [0]
+
+
+def test_hashes_of_ranges():
+    """Equal for equal bytes wherever they stand, different for all different ranges of a small text."""
+    import numpy as np
+
+    from lanternlog.llm import bytes as B
+
+    text = np.frombuffer(b"abababab" * 40 + b"\0" * 30 + b"abababab" * 40, np.uint8)
+    start, end = np.triu_indices(len(text) + 1)
+    named: dict[bytes, int] = {}
+    for a, b, h in zip(start[::7], end[::7], B.hashes(text, start[::7], end[::7]).tolist()):
+        assert named.setdefault(text[a:b].tobytes(), h) == h
+    assert len(set(named.values())) == len(named)
