@@ -43,13 +43,13 @@ def counts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Term counts, one row per text."""
     n, size = len(at) - 1, np.diff(at)
     out = np.zeros((n, TERMS + LENGTHS + REPEATS), np.float32)
-    if len(buf) >= 3:
-        b = buf.astype(np.uint32)
+    for a in range(0, len(buf) - 2, B.SLICE):  # a long text in pieces that overlap by two bytes
+        b = buf[a : a + B.SLICE + 2].astype(np.uint32)
         gram = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
         term = ((gram * np.uint32(2654435761)) >> np.uint32(32 - TERMS.bit_length() + 1)).astype(np.int64)
-        row = np.repeat(np.arange(n), size)
+        row = np.searchsorted(at, np.arange(a, a + len(b)), "right") - 1
         own = row[:-2] == row[2:]
-        out[:, :TERMS] = np.bincount(row[:-2][own] * TERMS + term[own], minlength=n * TERMS).reshape(n, TERMS)
+        out[:, :TERMS] += np.bincount(row[:-2][own] * TERMS + term[own], minlength=n * TERMS).reshape(n, TERMS)
     length = np.minimum(np.ceil(np.log2(size + 1)).astype(np.int64), LENGTHS - 1)
     out[np.arange(n), TERMS + length] = 1
     words, first = B.word_hashes(buf, at, B.GRAPHIC)
@@ -74,7 +74,7 @@ def features(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def blocks(column: pa.Array) -> Iterator[np.ndarray]:
     """Counts of at most ``_BLOCK`` texts at a time."""
     buf, at = B.utf8(column)
-    for i, j in B.slices(at, 1 << 20):
+    for i, j in B.slices(at):
         for k in range(i, j, _BLOCK):
             end = min(j, k + _BLOCK)
             yield counts(buf[at[k] : at[end]], at[k : end + 1] - at[k])
@@ -126,12 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.astype(np.uint16).tobytes() for x in blocks(batch.column(0)) for r in np.minimum(x, 65535)]
+            rows = [r.astype(np.uint32).tobytes() for x in blocks(batch.column(0)) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["label", "counts"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label")
-    sample = texts.mapInArrow(run, "label int, counts binary").limit(per_class * len(total)).collect()
-    x = np.stack([np.frombuffer(r["counts"], np.uint16) for r in sample]).astype(np.float32)
+    # at most per_class ids of either label are broadcast; of the rows of one id the smallest text is learnt from
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+    sample = texts.select("text", "label").mapInArrow(run, "label int, counts binary").collect()
+    x = np.stack([np.frombuffer(r["counts"], np.uint32) for r in sample]).astype(np.float32)
     y = np.array([r["label"] for r in sample], np.float32)
     weight = (np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(0))) + 1).astype(np.float32)
     z = features(x, weight)
