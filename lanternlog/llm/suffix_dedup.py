@@ -12,7 +12,10 @@ of smallest hash is the window's anchor; equal windows have equal anchors at equ
    cells, and each cell by the text that all its windows share, halving the cells until no group is
    crowded. A cell of one offset holds equal windows only.
 
-Texts that occur several times repeat wholly; one of each takes part in the steps above.
+Texts that occur several times repeat wholly; one of each takes part in the steps above. Which texts are equal
+is told by their SHA-256, of which 16 bytes name a text throughout. Long texts are worked on in pieces whose
+windows join up. What needs no text (copies, and texts that nothing was found in) is settled on narrow rows; text
+moves only for the places that repeat and for texts that lose a part.
 
 ``suffix_array`` is the linear grouping construction: suffixes are grouped by Lyndon prefix, the groups
 taken in descending order, each moving the previous smaller suffixes of its members to groups of their own;
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.llm import bytes as B
-from lanternlog.llm.bloom import bits_of, filter_of, test_of, within
+from lanternlog.llm.bloom import bits_of, within
 from lanternlog.llm.tables import stored
 
 SPAN, GRAM = 200, 32
@@ -190,7 +193,21 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-_PLACE = "key bigint, start bigint, n int, ahead int, anchor bigint, segment bigint"
+_PLACE = "key binary, start bigint, n int, ahead int, anchor bigint, segment bigint"
+
+
+def _pieces(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, one past the last, first byte, one past the last) of what is searched for anchors at once.
+
+    A text longer than a slice comes in pieces, each with the bytes that its last window needs; a run of windows
+    that a cut divides is two segments of one anchor, at different offsets from it.
+    """
+    for i, j in B.slices(at, _SLICE):
+        if at[j] - at[i] <= _SLICE:
+            yield i, j, at[i], at[j]
+        else:
+            for a in range(at[i], at[j] - SPAN + 1, _SLICE):
+                yield i, j, a, min(a + _SLICE + SPAN - 1, at[j])
 
 
 def _anchored(texts: DataFrame, one: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
@@ -208,12 +225,13 @@ def _anchored(texts: DataFrame, one: np.ndarray, wanted: np.ndarray | None = Non
             kept = np.array(mark.is_null()) | within(one, mark.fill_null(0).to_numpy())
             batch = batch.filter(pa.array(kept))
             buf, at = B.utf8(batch.column(1))
-            for i, j in B.slices(at, _SLICE):
-                row, *rest = anchors(buf[at[i] : at[j]], at[i : j + 1] - at[i])
+            for i, j, a, b in _pieces(buf, at):
+                row, *rest = anchors(buf[a:b], np.clip(at[i : j + 1], a, b) - a)
                 if wanted is not None:
                     some = within(wanted, rest[3].view(np.int64))
                     row, rest = row[some], [x[some] for x in rest]
                 start, n, ahead, anchor, segment = rest
+                start = start + (a - at[i] if j == i + 1 else 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row + i)), pa.array(start), pa.array(n, pa.int32()), pa.array(ahead, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64))],
                     names=["key", "start", "n", "ahead", "anchor", "segment"],
@@ -222,6 +240,21 @@ def _anchored(texts: DataFrame, one: np.ndarray, wanted: np.ndarray | None = Non
     return texts.select("key", "text", "mark").mapInArrow(run, _PLACE)
 
 
+def _texts_of(texts: DataFrame, keys: DataFrame, one: np.ndarray) -> DataFrame:
+    """key and text of the texts (key, text, mark) that take part and whose key is in ``keys``, and of a few others."""
+    shared = texts.sparkSession.sparkContext.broadcast((one, bits_of(keys.select(F.xxhash64("key").alias("h")), "h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, wanted = shared.value
+        for batch in batches:
+            mark = batch.column(2)
+            kept = np.array(mark.is_null()) | within(one, mark.fill_null(0).to_numpy())
+            kept &= within(wanted, batch.column(3).to_numpy())
+            yield batch.select(["key", "text"]).filter(pa.array(kept))
+
+    return texts.select("key", "text", "mark", F.xxhash64("key").alias("h")).mapInArrow(run, "key binary, text string")
+
+
 def _compared(segments: DataFrame) -> DataFrame:
     """anchor, segment, start and stop (offsets from the anchor) of repeated windows, groups side by side in tasks."""
     dealt = segments.repartition("group").sortWithinPartitions("group")
@@ -302,8 +335,7 @@ def _ranges(texts: DataFrame, one: np.ndarray) -> DataFrame:
     many = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = each.join(many, "anchor", "left_semi").select("at.*", "anchor", "segment")
     wanted = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "ahead", "anchor", "segment")).alias("of")), "wanted")
-    stands = F.col("mark").isNull() | test_of(texts.sparkSession, one)(F.col("mark"))
-    source = texts.where(filter_of(wanted, "key")(F.col("key")) & stands).select("key", "text").join(wanted, "key")
+    source = _texts_of(texts, wanted, one).join(wanted, "key")
     cut = source.select(F.col("text").cast("binary").alias("text"), F.explode("of").alias("s")).select(
         F.col("s.anchor").alias("group"),
         "s.anchor",
@@ -325,48 +357,77 @@ def _ranges(texts: DataFrame, one: np.ndarray) -> DataFrame:
     return whole.unionByName(partly).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
 
+#: Parts that the rows of one text are dealt into when they learn that they are copies.
+_SALT = 32
+
+
+def _cut(text: bytes, ranges: list[dict]) -> tuple[int, int, str]:
+    """Bytes removed, maximal runs removed, and the SHA-256 of what is left; ranges are in order and may overlap."""
+    rest, gone, spans, upto = sha256(), 0, 0, 0
+    stop = -1
+    for r in ranges:
+        if r["a"] > stop:
+            rest.update(memoryview(text)[upto : r["a"]])
+            spans += 1
+            stop = r["a"]
+        if r["b"] > stop:
+            gone += r["b"] - stop
+            stop = r["b"]
+        upto = stop
+    rest.update(memoryview(text)[upto:])
+    return gone, spans, rest.hexdigest()
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).alias("n_bytes"), text.alias("text"))
-    classes = rows.where(F.col("n_bytes") >= SPAN).groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
-    classes = stored(classes, "texts")
-    # one text of each kind takes part; a few more that the filter lets through do no harm
+    digest = F.sha2(text.cast("binary"), 256)
+    key = F.substring(F.unhex(digest), 1, 16)
     mark = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    size = F.octet_length(text).cast("bigint")
+    narrow = stored(docs.select("doc_id", key.alias("key"), digest.alias("digest"), size.alias("n_bytes")), "texts")
+    long = narrow.where(F.col("n_bytes") >= SPAN)
+    classes = long.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
+    classes = stored(classes, "classes")
+    # one text of each kind takes part; a few more that the filter lets through do no harm
     one = bits_of(classes.where("one is not null").select(F.xxhash64("one").alias("mark")), "mark")
-    ranges = _ranges(rows.where(F.col("n_bytes") >= SPAN).select("key", "text", mark.alias("mark")), one)
-    some = ranges.join(classes.where("copies > 1").select("key", F.lit(True).alias("whole")), "key", "full_outer")
-    some = stored(some, "ranges")
-    maybe = filter_of(some, "key")(F.col("key"))
-    out = rows.where(~maybe).select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    texts = docs.where(size >= SPAN).select(key.alias("key"), text.alias("text"), mark.alias("mark"))
+    copied = classes.where("copies > 1").select("key")
+    # copies go whole, whatever was found in the one that took part
+    ranges = stored(_ranges(texts, one).join(copied, "key", "left_anti"), "ranges")
+    cut = _texts_of(texts, ranges, one).join(ranges, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, digests = [], [], []
-            for text, ranges, whole in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                data = text.encode()
-                if whole:
-                    ranges = [{"a": 0, "b": len(data)}]
-                kept, gone, n, done = [], 0, 0, 0
-                stop = -1
-                for r in ranges or []:
-                    if r["a"] > stop:
-                        kept.append(data[done : r["a"]])
-                        n += 1
-                        stop = done = r["a"]
-                    if r["b"] > stop:
-                        gone += r["b"] - stop
-                        stop = done = r["b"]
-                kept.append(data[done:])
-                removed.append(gone)
-                spans.append(n)
-                digests.append(sha256(b"".join(kept)).hexdigest())
+            found = [_cut(t.as_py().encode(), r.as_py()) for t, r in zip(batch.column(1), batch.column(2), strict=True)]
+            columns = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))],
+                names=["key", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    touched = rows.where(maybe).join(some, "key", "left").select("doc_id", F.col("n_bytes").cast("bigint").alias("n_bytes"), "text", "ranges", "whole")
-    touched = touched.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return touched.unionByName(out.withColumn("n_bytes", F.col("n_bytes").cast("bigint")))
+    touched = cut.select("key", "text", "ranges").mapInArrow(run, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+    # every key of a text that is touched is one row; the keys of copies, dealt out, are marked first
+    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(_SALT)).cast("int")
+    dealt = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1)))).withColumn("copy", F.lit(True))
+    marked = long.withColumn("salt", salt).join(dealt, ["key", "salt"], "left")
+    zero = F.lit(0).cast("bigint")
+    copies = marked.where("copy").select(
+        "doc_id",
+        "n_bytes",
+        F.col("n_bytes").alias("n_removed"),
+        F.lit(1).cast("bigint").alias("n_spans"),
+        F.sha2(F.lit(""), 256).alias("kept_sha256"),
+    )
+    single = marked.where("copy is null").join(stored(touched, "touched"), "key", "left")
+    single = single.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept_sha256", "digest").alias("kept_sha256"),
+    )
+    short = narrow.where(F.col("n_bytes") < SPAN).select(
+        "doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("digest").alias("kept_sha256")
+    )
+    return copies.unionByName(single).unionByName(short)

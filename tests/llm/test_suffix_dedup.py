@@ -64,3 +64,28 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b " * 100), (None, "a b " * 100), (3, None)], "doc_id bigint, text string")
     assert sorted(r["n_removed"] for r in S.report(docs).collect()) == [0, 400, 400]
     assert S.report(docs.limit(0)).count() == 0
+
+
+def test_long_text_in_pieces(spark):
+    """A text longer than a slice, whose repeats lie across its cuts, beside another that shares a passage."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = noise(700)
+    cut = S._SLICE
+    long = noise(cut - 300) + shared + noise(cut // 3) + shared + noise(50)
+    check(spark, [long, noise(400) + shared[100:600], noise(900), "é" * 120 + noise(90)])
+
+
+def test_pieces_cover_all_windows():
+    at = S.np.array([0, 10, 10, S._SLICE * 3 + 7, S._SLICE * 3 + 400])
+    got = list(S._pieces(S.np.zeros(at[-1], S.np.uint8), at))
+    long = [(a, b) for i, j, a, b in got if (i, j) == (2, 3)]
+    starts = sorted(w for a, b in long for w in (a, b - S.SPAN))
+    assert starts[0] == 10 and starts[-1] == S._SLICE * 3 + 7 - S.SPAN
+    assert all(later[0] == earlier[1] - S.SPAN + 1 for earlier, later in zip(long, long[1:]))
+
+
+def test_equal_hashes_are_not_equal_texts(spark, monkeypatch):
+    """Filters that let everything through, as equal hashes would, change nothing."""
+    monkeypatch.setattr(S, "bits_of", lambda ids, column: S.np.full(8, 2**64 - 1, S.np.uint64))
+    check(spark, corpus(random.Random(9), 40, 0))
