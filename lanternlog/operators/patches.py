@@ -37,6 +37,9 @@ PATCH_COLUMNS = [
     "reverts_run_id",
 ]
 
+#: Age of a stored row: the write that made it, in the order of records. Records older than a row are not about it.
+BORN = "_born"
+
 _STATE = "struct<exists:boolean,value:string>"
 _BEFORE = f"map<string,{_STATE}>"
 _PATH = re.compile(r"[^.]+(\.[^.]+)*")
@@ -65,6 +68,10 @@ class Run:
         }
 
 
+def born(ticket: Column, op: Column) -> Column:
+    return F.struct(ticket.cast("bigint").alias("run_seq"), op.cast("bigint").alias("op_seq"))
+
+
 def check_paths(paths: Sequence[str]) -> list[str]:
     paths = list(paths)
     if not paths:
@@ -195,8 +202,8 @@ def _kills(leaf: Column, op: Column, since: Column | None) -> Column:
     return (at_or_above & (op["seq"] > since)) | (below & F.coalesce(op["set_seq"] > since, F.lit(False)))
 
 
-def _touches(path: str):
-    return lambda op: _kills(F.lit(path), op, None)
+def _touches(path: str, since: Column | None):
+    return lambda op: _kills(F.lit(path), op, since)
 
 
 def _set_leaves(op: Column) -> Column:
@@ -218,12 +225,13 @@ def _set_leaves(op: Column) -> Column:
     return F.when(op["value"].startswith("{"), objects).otherwise(plain)
 
 
-def patched_fields(fields: Column, ops: Column) -> Column:
-    """Leaf map after the operations."""
+def patched_fields(fields: Column, ops: Column, since: Column | None = None) -> Column:
+    """Leaf map after the operations, of those later than ``since`` where it is given."""
 
     def rewrite(operations: Column) -> Column:
-        kept = F.map_filter(fields, lambda k, _: ~F.exists(operations, lambda o: _kills(k, o, None)))
-        sets = F.filter(operations, lambda o: o["value"].isNotNull())
+        kept = F.map_filter(fields, lambda k, _: ~F.exists(operations, lambda o: _kills(k, o, since)))
+        counts = lambda o: o["value"].isNotNull() if since is None else o["value"].isNotNull() & (o["seq"] > since)
+        sets = F.filter(operations, counts)
         leaves = F.flatten(F.transform(sets, _set_leaves))
         alive = F.filter(leaves, lambda leaf: ~F.exists(operations, lambda o: _kills(leaf["key"], o, leaf["seq"])))
         pairs = F.transform(alive, lambda a: F.struct(a["key"].alias("key"), a["value"].alias("value")))
@@ -238,14 +246,19 @@ def apply_patches(docs: DataFrame, log: DataFrame, promoted: bool = True) -> Dat
     One equi join on (table, id) against one row per patched document; the log side is
     normally the small one, and adaptive execution picks broadcast or a skew-safe sort
     merge from its measured size. Columns other than the leaf map are recomputed only
-    for patched rows, and only when ``promoted`` is set.
+    for patched rows, and only when ``promoted`` is set. Where rows carry their age
+    (``BORN``), a record counts for rows older than itself only.
     """
     ops = last_operations(log).select(
         F.col("index").alias("_index"), F.col("doc_id").alias("_id"), "ops", "deleted_seq"
     )
-    joined = docs.join(ops, ["_index", "_id"], "left").where(F.col("deleted_seq").isNull())
+    since = F.col(BORN) if BORN in docs.columns else None
+    alive = F.col("deleted_seq").isNull()
+    if since is not None:
+        alive = alive | (F.col("deleted_seq") < since)
+    joined = docs.join(ops, ["_index", "_id"], "left").where(alive)
     hit = F.col("ops").isNotNull() & (F.size("ops") > 0)
-    new = F.when(hit, patched_fields(F.col("fields"), F.col("ops"))).otherwise(F.col("fields"))
+    new = F.when(hit, patched_fields(F.col("fields"), F.col("ops"), since)).otherwise(F.col("fields"))
     out = joined.withColumn("_new", new)
     columns: list[Column] = []
     for name in docs.columns:
@@ -253,7 +266,7 @@ def apply_patches(docs: DataFrame, log: DataFrame, promoted: bool = True) -> Dat
         if name == "fields":
             columns.append(F.col("_new").alias("fields"))
         elif promoted and path is not None:
-            touched = F.exists("ops", _touches(path))
+            touched = F.exists("ops", _touches(path, since))
             value = leafs.from_leaf(F.col("_new")[path], PROMOTED[path])
             columns.append(F.when(hit & touched, value).otherwise(F.col(name)).alias(name))
         else:

@@ -201,7 +201,7 @@ def test_compact_changes_no_result(store):
     run(store, lambda ctx: ctx.update_by_query("suricata", ALERTS, {"risk": 1}))
     before = state(store)
     assert store.compact("suricata") == 2
-    assert state(store) == before and store._touched_days(1) == []
+    assert state(store) == before and store.pending_days("suricata") == []
     out = run(store, lambda ctx: ctx.update_by_query("suricata", ALERTS, {"risk": 2}))
     assert state(store)["1"]["risk"] == "2"
     roll_back({"lab": store}, out["run_id"])
