@@ -191,6 +191,15 @@ class Store:
         reset = named if mode == "replace" else []
         return self._commit({"ticket": ticket, "create": named, "reset": reset, "add": parts}, once)
 
+    def publish(self, parts: Sequence[Part], create: Sequence[str] = (), once: tuple[str, int] | None = None) -> bool:
+        """Make parts that ``put`` wrote visible, all in one step; false where the batch ``once`` was published before."""
+        newest = max((t for _, t, _, _ in parts), default=self._now()["ticket"])
+        return self._commit({"ticket": newest, "create": list(create), "add": list(parts)}, once)
+
+    def ticket(self) -> int:
+        """A number for a write of one's own, to be published."""
+        return self._ticket()
+
     def put(self, docs: DataFrame, ticket: int, op: int = 0) -> list[Part]:
         """Write documents with their ``_base``; nobody sees them until a commit adds the parts returned."""
         extra = [BORN] if BORN in docs.columns else []
@@ -212,12 +221,13 @@ class Store:
         """The days a dataset has documents of."""
         return sorted({d for _, _, days in self._known(base)["parts"] for d in days})
 
-    def stored(self, base: str, extra: Iterable[Part] = (), fresh: bool = False) -> DataFrame:
+    def stored(self, base: str, extra: Iterable[Part] = (), fresh: bool = False, newer: int | None = None) -> DataFrame:
         """Documents as written, before any patch that is not folded in, with their age (``BORN``). One scan.
 
-        ``extra`` adds parts of an open run; ``fresh`` leaves out what the dataset held before that run dropped it.
+        ``extra`` adds parts of an open run; ``fresh`` leaves out what the dataset held before that run dropped it;
+        ``newer`` leaves out parts up to a ticket.
         """
-        parts = [] if fresh else [tuple(p) for p in self._known(base)["parts"]]
+        parts = [] if fresh else [tuple(p) for p in self._known(base)["parts"] if newer is None or p[0] > newer]
         parts += [(t, o, days) for b, t, o, days in extra if b == base]
         columns = self._columns()
         if not parts:
@@ -245,9 +255,10 @@ class Store:
         own: Iterable[tuple[int, int, list[str]]] = (),
         fresh: bool = False,
         upto: int | None = None,
+        newer: int | None = None,
     ) -> DataFrame:
         extra = list(extra)
-        docs = self.stored(base, extra, fresh)
+        docs = self.stored(base, extra, fresh, newer)
         present = {d for b, _, _, days in extra if b == base for d in days} | (set() if fresh else set(self.days(base)))
         earlier = [] if fresh else self._records_after(self._known(base)["folded"], upto)
         pending = [p for p in [*earlier, *own] if present & set(p[2])]
@@ -388,6 +399,21 @@ class Store:
         """The last batch that a stream has committed."""
         return self._now()["streams"].get(stream)
 
+    def has_newer(self, base: str, after: int) -> bool:
+        """Whether a dataset got parts after a ticket."""
+        return any(t > after for t, _, _ in self._known(base)["parts"])
+
+    def since(self, base: str, after: int | None) -> tuple[DataFrame, int]:
+        """Current documents written after a ticket (None: all), and the ticket up to which they are complete.
+
+        Only parts written since are read. Rows that a compaction wrote anew are as old as they were.
+        """
+        upto = self._settled()
+        docs = self._current(base, newer=after).where(F.col(BORN)["run_seq"] <= upto)
+        if after is not None:
+            docs = docs.where(F.col(BORN)["run_seq"] > after)
+        return docs.drop(BORN), upto
+
     # views ------------------------------------------------------------------------------------
 
     def _views(self) -> dict[str, list]:

@@ -325,3 +325,149 @@ def test_compact_beside_an_open_run_keeps_its_patches(store):
     store.compact("suricata")
     ctx.commit()
     assert {i for i, f in state(store).items() if "k" in f} == {"1", "2"}
+
+
+# One commit for all a change does -----------------------------------------------------------
+
+
+def test_nothing_comes_back_after_a_run_without_effect(spark, store):
+    run(store, lambda ctx: None)
+    run(store, lambda ctx: ctx.index_doc("suricata", {"@timestamp": "2024-01-05T00:00:00Z"}, "new"))
+    run(store, lambda ctx: ctx.update_by_query("suricata", None, {"x": 1}))
+    store.write(documents(spark, {"7": {"k": 1}}), "suricata", mode="replace")
+    assert state(store) == {"7": {"k": "1"}}
+    assert store.compact("suricata") == 0 and store.pending_days("suricata") == []
+
+
+def test_a_commit_that_fails_leaves_all_as_it_was(store, monkeypatch):
+    before = state(store)
+
+    def job(ctx):
+        ctx.drop_dataset("suricata")
+        ctx.index_doc("suricata", {"@timestamp": "2024-01-05T00:00:00Z"}, "new")
+
+    for broken in ("put", "_created"):
+        with monkeypatch.context() as patch:
+            real = getattr(Store, broken)
+
+            def fail(self, *args, real=real):
+                if broken == "put" or "commits" in args[0] and "given_up" not in args[1]:
+                    raise OSError("disk full")
+                return real(self, *args)
+
+            patch.setattr(Store, broken, fail)
+            out = run_enrichment(Enrichment("e", job), {"lab": store})
+        assert not out["results"][0]["ok"] and state(store) == before
+    assert Store(store.spark, store.root)._now() == store._now()
+    run(store, job)
+    assert set(state(store)) == {"new"}
+
+
+def test_created_again_after_a_delete(spark, store):
+    body = {"@timestamp": "2024-01-05T00:00:00Z", "k": 1}
+    t5 = "suricata-2024.01.05"
+    run(store, lambda ctx: ctx.index_doc("suricata", body, "n1"))
+    run(store, lambda ctx: ctx.update_doc(t5, "n1", {"k": 2, "old": True}))
+    run(store, lambda ctx: ctx.delete_doc(t5, "n1"))
+    assert "n1" not in state(store)
+    run(store, lambda ctx: ctx.index_doc("suricata", body, "n1"))
+    assert state(store)["n1"]["k"] == "1" and "old" not in state(store)["n1"]
+    run(store, lambda ctx: ctx.update_doc(t5, "n1", {"k": 3}))
+    assert state(store)["n1"]["k"] == "3"
+
+    def job(ctx):  # all in one run
+        ctx.delete_doc(t5, "n1")
+        ctx.index_doc("suricata", body | {"k": 7}, "n1")
+        ctx.delete_doc(t5, "n1")
+        ctx.index_doc("suricata", body | {"k": 8}, "n1")
+        ctx.update_doc(t5, "n1", {"l": 9})
+
+    run(store, job)
+    assert (state(store)["n1"]["k"], state(store)["n1"]["l"], len(state(store))) == ("8", "9", 4)
+    # rows ingested after a delete are new as well, also once all is folded
+    run(store, lambda ctx: ctx.delete_doc(T1, "1"))
+    store.write(documents(spark, {"1": {"k": 5}}), "suricata")
+    assert state(store)["1"] == {"k": "5"}
+    store.compact("suricata")
+    assert state(store)["1"] == {"k": "5"} and state(store)["n1"]["l"] == "9" and len(state(store)) == 4
+
+
+def test_many_appends_are_one_scan_and_one_reading(spark, store, tmp_path):
+    """Hundreds of appends: what is read is one scan, and a new reader starts from the last whole state."""
+    import shutil
+
+    for ticket in range(2, 200):
+        shutil.copytree(f"{store.root}/docs/v=1", f"{store.root}/docs/v={ticket}")
+        store._commit({"ticket": ticket, "add": [["suricata", ticket, 0, ["2024-01-01", "2024-01-03"]]]})
+    docs = Store(spark, store.root).read("suricata")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    assert docs.count() == 3 + 198 * 2
+    fresh = Store(spark, store.root)
+    seen = []
+    real = fresh._text
+    fresh._text = lambda path: seen.append(path) or real(path)
+    assert fresh._now() == store._now() and len(seen) <= 64 + 2
+
+
+def test_two_writers_lose_nothing(spark, store):
+    other = Store(spark, store.root)
+    other.create("b")
+    store.create("c")
+    with pytest.raises(ValueError):
+        other.create("c")
+    tickets = [s.ticket() for s in (store, other, store, other)]
+    assert len(set(tickets)) == 4 and store.bases() == other.bases() == ["b", "c", "suricata"]
+
+
+def test_a_batch_of_a_stream_counts_once(spark, store):
+    extra = documents(spark, {"8": {"k": 1}})
+    assert store.write(extra, "suricata", once=("s", 4))
+    assert not store.write(extra, "suricata", once=("s", 4))
+    assert not store.publish([], once=("s", 3)) and store.progress("s") == 4
+    assert len(state(store)) == 4 and store.progress("other") is None
+
+
+def test_open_runs_of_a_crashed_driver_are_given_up(store):
+    ctx = Context(store, "lab", "e", "crashed")
+    ctx.update_by_query("suricata", None, {"x": 1})
+    run(store, lambda ctx: ctx.update_by_query("suricata", ALERTS, {"y": 1}))
+    store.compact("suricata")
+    assert store.pending_days("suricata")  # it might still commit
+    assert store.give_up() == [ctx._seq] and store.give_up() == []
+    assert store.compact("suricata") == 2 and store.pending_days("suricata") == []
+    assert all("x" not in f for f in state(store).values())
+
+
+def test_rollback_reads_only_the_days_of_its_run(store):
+    first = run(store, lambda ctx: ctx.update_doc(T1, "1", {"x": 1}))["run_id"]
+    for day in (2, 3):
+        run(store, lambda ctx: ctx.update_doc(f"suricata-2024.01.0{day}", str(day), {"x": 1}))
+    files = store.log_of(first).inputFiles()
+    assert len(files) >= 1 and all("doc_day=2024-01-01" in f for f in files)
+    assert roll_back({"lab": store}, first)["reverted"] == 1
+
+
+def test_index_docs(spark, store):
+    rows = [("9", '{"@timestamp":"2024-01-05T00:00:00Z","k":1}'), ("9", '{"@timestamp":"2024-01-05T00:00:00Z","k":2}'),
+            ("1", '{"@timestamp":"2024-01-01T00:00:00Z"}'), (None, '{"k":3}'), (None, '{"k":3}')]
+    frame = lambda r: spark.createDataFrame(r, "id string, body string")
+    with pytest.raises(RuntimeError, match="exists"):
+        out = run_enrichment(Enrichment("e", lambda ctx: ctx.index_docs("suricata", frame(rows))), {"lab": store})
+        raise RuntimeError(out["results"][0]["error"])
+    with pytest.raises(RuntimeError, match="no JSON objects"):
+        out = run_enrichment(Enrichment("e", lambda ctx: ctx.index_docs("suricata", frame([("x", "[1]")]))), {"lab": store})
+        raise RuntimeError(out["results"][0]["error"])
+    seen = {}
+    out = run(store, lambda ctx: seen.update(ctx.index_docs("suricata", frame(rows), exists="skip")))
+    assert (seen["created"], seen["skipped"], out["results"][0]["docs_created"]) == (3, 2, 3)
+    assert len(state(store)) == 6 and state(store)["9"]["k"] in ("1", "2")
+    assert run(store, lambda ctx: ctx.index_docs("suricata", frame(rows)), dry_run=True)["results"][0]["docs_created"] == 0
+
+
+def test_targets_run_in_the_order_given(spark, tmp_path):
+    order = []
+    names = ["c", "a", "b"]
+    stores = {n: Store(spark, str(tmp_path / n)) for n in names}
+    run_enrichment(Enrichment("e", lambda ctx: order.append(ctx.cluster), names), stores)
+    assert order == names
