@@ -115,31 +115,37 @@ def ingest_files(
 ) -> DataFrame:
     """Ingest a file, glob or folder. Returns ``file, format, strategy, docs, rejected, error``.
 
-    A file that cannot be routed or read is reported with its error; the others go on. JSON lines
+    A file that cannot be routed or read is reported with its error; the others go on. Of a damaged
+    archive the lines before the damage are ingested and the error is reported. JSON lines
     that are no objects are counted per file and kept under ``quarantine/`` of the store.
     """
     spark = store.spark
     stamp = F.lit(now or dt.datetime.now(dt.timezone.utc))
-    lines = L.read_lines(spark, path)
-    docs, plan = documents_of_files(lines, options, stamp, pipelines)
     staged = work_dir(spark, "ingest")
-    # Written once; datasets and counts are read from there.
-    docs.write.partitionBy("_base").parquet(f"{staged}/docs")
+    # Files are read and unpacked once; formats, documents, rejects and counts come from what is written here.
+    archives = L.read_archives(spark, path)
+    plain = L.read_log_files(spark, path).withColumn("error", F.lit(None).cast("string"))
+    read = plain.unionByName(archives)
+    read.write.parquet(f"{staged}/lines")
+    read = spark.read.schema(read.schema).parquet(f"{staged}/lines")
+    lines, damaged = read.where("error is null").drop("error"), read.where("error is not null").select("file", F.col("error").alias("damage"))
+    docs, plan = documents_of_files(lines, options, stamp, pipelines)
+    docs.write.parquet(f"{staged}/docs")
     plan.write.parquet(f"{staged}/plan")
     parsed = spark.read.schema(docs.schema).parquet(f"{staged}/docs")
     files = spark.read.schema(plan.schema).parquet(f"{staged}/plan")
     judged = L.json_lines(lines.join(files.where("strategy = 'json'").select("file"), "file"))
     bad = judged.where(~F.col("accepted")).select("file", "line")
     bad.write.parquet(kept := f"{store.root}/quarantine/{staged.rsplit('/', 1)[-1]}")
-    for base in sorted(r[0] for r in parsed.select("_base").distinct().collect()):  # dataset names
-        store.write(parsed.where(F.col("_base") == base), base, options.mode)
+    # all datasets in one job and one commit
+    store.write_many(parsed, options.mode)
     n = lambda c: F.count(F.lit(1)).alias(c)
     counts = parsed.groupBy("file").agg(n("docs"))
     rejected = spark.read.schema(bad.schema).parquet(kept).groupBy("file").agg(n("rejected"))
     found = L.listed_files(spark, path)
     slashes = lambda df: df.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
     report = files.join(counts, "file", "left").join(rejected, "file", "left")
-    report = slashes(report).join(slashes(found), "file", "full_outer")
+    report = slashes(report).join(slashes(found), "file", "full_outer").join(slashes(damaged), "file", "left")
     unread = F.when(F.col("hidden"), "error: hidden name").when(F.col("size") == 0, "error: empty file").otherwise("error: not readable")
     strategy = F.coalesce("strategy", unread)
     failed = strategy.startswith("error")
@@ -147,5 +153,5 @@ def ingest_files(
         "file", F.coalesce("format", F.lit("other")).alias("format"), strategy.alias("strategy"),
         F.when(failed, 0).otherwise(F.coalesce("docs", F.lit(0))).cast("bigint").alias("docs"),
         F.coalesce("rejected", F.lit(0)).cast("bigint").alias("rejected"),
-        F.when(failed, strategy).alias("error"),
+        F.coalesce(F.concat(F.lit("error: damaged: "), "damage"), F.when(failed, strategy)).alias("error"),
     )

@@ -10,7 +10,8 @@ batches. A hot key is cut into time chunks that are solved in parallel:
 3. going back down, each chunk learns from when on it may keep a hit;
 4. all chunks then run the plain pass at once.
 
-The result is exact for any distribution, and no task holds more than ``FAN`` tables.
+The result is exact for any distribution. A task holds one chunk, or ``FAN`` tables, each with a row for every hit
+of one window at most; chunks are cut by running counts, so neither a long window nor a busy moment makes one large.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternlog.model import TS
+from lanternlog.operators.prefix import running
 from lanternlog.session import checkpointed
 
 _KEY = ["rule_id", "key"]
@@ -42,7 +44,7 @@ class Limits:
 def suppress(
     hits: DataFrame, window_seconds: int = 60, state: DataFrame | None = None, limits: Limits = Limits()
 ) -> DataFrame:
-    """Kept hits. ``state`` (``rule_id, key, last_us``) continues an earlier pass.
+    """Kept hits. ``state`` (``rule_id, key, last_us``; a key may have several) continues an earlier pass.
 
     Of several hits at one instant the first by event id counts.
     """
@@ -71,17 +73,21 @@ def kept_moments(
     """Distinct ``(rule_id, key, us)`` -> the kept ones."""
     if state is not None:
         # What the earlier pass rules out goes first; then every key starts afresh. A hit that comes late,
-        # from before the window around the last kept one, is news and stays.
-        moments = moments.join(state.select(*_KEY, "last_us"), _KEY, "left")
-        near = F.abs(F.col("us") - F.col("last_us")) < window
-        moments = moments.where(F.col("last_us").isNull() | ~near).drop("last_us")
+        # from outside the windows around all kept ones, is news and stays. Hits and kept times meet by
+        # window-long slots, so a key with many of both is no product of the two.
+        slot = F.floor(F.col("last_us") / window)
+        kept = state.select(*_KEY, "last_us", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot")).alias("k")
+        asked = moments.withColumn("slot", F.floor(F.col("us") / window)).alias("m")
+        same = [F.col(f"m.{c}") == F.col(f"k.{c}") for c in (*_KEY, "slot")]
+        near = F.abs(F.col("m.us") - F.col("k.last_us")) < window
+        moments = asked.join(kept, [*same, near], "left_anti").drop("slot")
     sizes = moments.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.where(F.col("n") > limits.hot).select(*_KEY)
     never = F.lit(_NEVER).cast("bigint")
     if hot.isEmpty():
         return _stream(moments.withColumn("theta", never), [*_KEY], window)
     plain = _stream(moments.join(hot, _KEY, "left_anti").withColumn("theta", never), [*_KEY], window)
-    split = _chunked(moments.join(hot, _KEY, "left_semi"), window, limits.chunk)
+    split = checkpointed(_chunked(moments.join(hot, _KEY, "left_semi"), limits.chunk))
     thetas = _chunk_thetas(split, window, limits.fan)
     cut = split.join(thetas, [*_KEY, "node"], "left").withColumn("theta", F.coalesce("theta", never))
     return plain.unionByName(_stream(cut, [*_KEY, "node"], window))
@@ -143,13 +149,10 @@ def greedy_mask(us: np.ndarray, starts: np.ndarray, floors: np.ndarray, window:
 # Hot keys ------------------------------------------------------------------------------
 
 
-def _chunked(moments: DataFrame, window: int, size: int) -> DataFrame:
-    """Number the time chunks of each key, about ``size`` hits each, cut at window-long slots."""
-    slotted = moments.withColumn("slot", F.floor(F.col("us") / window))
-    slots = slotted.groupBy(*_KEY, "slot").agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(W.partitionBy(*_KEY).orderBy("slot"))
-    nodes = slots.withColumn("node", F.floor((running - F.col("n")) / size)).select(*_KEY, "slot", "node")
-    return slotted.join(nodes, [*_KEY, "slot"]).drop("slot")
+def _chunked(moments: DataFrame, size: int) -> DataFrame:
+    """Number the time chunks of each key, ``size`` hits each, by running counts that are themselves many tasks."""
+    counted = running(moments.withColumn("_one", F.lit(1)), _KEY, ["us"], "_one", "_rank")
+    return counted.withColumn("node", F.floor((F.col("_rank") - 1) / size)).drop("_one", "_rank")
 
 
 def _chunk_thetas(split: DataFrame, window: int, fan: int) -> DataFrame:

@@ -92,6 +92,55 @@ def detect_dedup_hot(t: Tables) -> DataFrame:
     return suppress(hits, 3600, limits=Limits(hot=200, chunk=100, fan=4)).select("event_id", millis())
 
 
+_MANY = 5000
+
+
+@query(
+    "detect_many_rules",
+    """
+    SELECT CASE WHEN n % 3 = 0 THEN 'user-' || CAST(n AS VARCHAR) ELSE 'alert-of-' || CAST(n AS VARCHAR) END AS rule_id, count(*) AS hits
+    FROM (SELECT flow_id AS n, event_dataset, network_transport FROM docs)
+    WHERE n < 5000 AND (n % 3 = 0 OR event_dataset = 'suricata.alert' AND network_transport IN ('tcp', 'udp')) GROUP BY ALL
+    UNION ALL SELECT 'large', count(*) FROM docs WHERE flow_bytes_toserver > 50000 HAVING count(*) > 0
+    """,
+)
+def detect_many_rules(t: Tables) -> DataFrame:
+    # Thousands of rules on values, found by value, beside one that has to be tried.
+    rules = []
+    for n in range(_MANY):
+        user = {"term": {"flow_id": n}}
+        loud = {"bool": {"must": [{"term": {"event.dataset": "suricata.alert"}}, user], "filter": {"terms": {"network.transport": ["tcp", "udp"]}}}}
+        rules.append(D.Rule(f"user-{n}", user) if n % 3 == 0 else D.Rule(f"alert-of-{n}", loud, table="suricata-*"))
+    rules.append(D.Rule("large", {"range": {"flow.bytes_toserver": {"gt": 50000}}}))
+    return D.detect(t.docs(), rules, t.now()).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(
+    "detect_dedup_long_window",
+    """
+    SELECT arg_min(_id, (ts, _index, _id)) AS event_id, min(ts_ms) AS ts_ms FROM docs WHERE event_dataset = 'suricata.alert'
+    """,
+)
+def detect_dedup_long_window(t: Tables) -> DataFrame:
+    # One key, a window longer than the data, small chunks: only the first hit stays.
+    hits = _alert_hits(t, "event.dataset")
+    return suppress(hits, 20 * 365 * 86400, limits=Limits(hot=100, chunk=50, fan=4)).select("event_id", millis())
+
+
+@query(
+    "detect_dedup_short_window",
+    """
+    SELECT event_id, ts_ms FROM (SELECT arg_min(_id, (_index, _id)) AS event_id, epoch_us(ts) AS us, min(ts_ms) AS ts_ms,
+      lag(epoch_us(ts)) OVER (ORDER BY epoch_us(ts)) AS before FROM docs WHERE event_dataset = 'suricata.alert' GROUP BY ts)
+    WHERE before IS NULL OR us > before
+    """,
+)
+def detect_dedup_short_window(t: Tables) -> DataFrame:
+    # One key and a window shorter than any gap between its hits.
+    hits = _alert_hits(t, "event.dataset").withColumn(TS, F.col(TS))
+    return suppress(hits, 1, limits=Limits(hot=100, chunk=50, fan=4)).select("event_id", millis())
+
+
 # Streams: run to the end of the given data, then read what was written. ---------------------
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
 from lanternlog.functions.fields import expand_fields, from_leaf
 from lanternlog.functions.projections import safe_base
 from lanternlog.model import TS
 from lanternlog.operators import aggregates, parse, quality
+from lanternlog.operators.ingest import Options, ingest_files
 from lanternlog.plans.registry import millis, query
 from lanternlog.sources import lines as L
 from lanternlog.sources.bind import CEF_SQL, Tables, cef_lines, document_lines, event_lines, order_lines
+from lanternlog.session import work_dir
+from lanternlog.sources.store import Store
 from lanternlog.streaming.ingest import documents_of
 
 _EVE_SQL = """
@@ -353,3 +362,79 @@ def ingest_delta(t: Tables) -> DataFrame:
     docs = t.docs()
     before = docs.where("network_transport = 'tcp'")
     return quality.ingest_delta(aggregates.counts_by_table(before), aggregates.counts_by_table(docs))
+
+
+# Files ---------------------------------------------------------------------------------------
+
+
+@F.pandas_udf(BinaryType())
+def _packed(text: pd.Series, kind: pd.Series) -> pd.Series:
+    def one(content: str, how: str) -> bytes:
+        data = content.encode()
+        if how == "zip":
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("first.log", data)
+                archive.writestr("second.log", b"never read")
+            return out.getvalue()
+        whole = gzip.compress(data, mtime=0)
+        return {"gz": whole, "cut": whole[:-9], "junk": b"no archive"}[how]
+
+    return pd.Series([one(c, k) for c, k in zip(text, kind)])
+
+
+_KINDS = "CASE doc_id % 5 WHEN 0 THEN 'gz' WHEN 1 THEN 'zip' WHEN 2 THEN 'gz' WHEN 3 THEN 'cut' ELSE 'junk' END"
+
+
+@query(
+    "read_archives",
+    f"""
+    WITH d AS (SELECT doc_id, {_KINDS} AS kind, coalesce(text, '') AS text FROM documents),
+    l AS (SELECT doc_id, kind, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines, text FROM d)
+    SELECT doc_id, kind, CASE WHEN kind IN ('gz', 'zip') THEN CASE WHEN text = '' THEN 0 ELSE len(lines) END END AS lines,
+      kind IN ('cut', 'junk') AS damaged FROM l
+    """,
+    docs=False,
+)
+def read_archives(t: Tables) -> DataFrame:
+    # Every document as an archive, some cut short and some none at all; the others are read all the same.
+    kind = F.expr(_KINDS)
+    packed = t.lines("documents").select(
+        F.concat_ws(".", F.col("doc_id").cast("string"), kind, F.when(kind == "zip", "zip").otherwise(F.when(kind == "junk", "zip").otherwise("gz"))).alias("path"),
+        _packed(F.coalesce("text", F.lit("")), kind).alias("content"),
+    )
+    parts = F.split("path", "[.]")
+    rows = L.unpacked(packed).groupBy("file").agg(F.count("line").alias("lines"), F.bool_or(F.col("error").isNotNull()).alias("damaged"))
+    # a file of no lines and no error has no row
+    rows = packed.select("path").join(rows, F.col("path") == F.col("file"), "left")
+    kind = F.element_at(parts, 2)
+    return rows.select(
+        F.element_at(parts, 1).cast("bigint").alias("doc_id"), kind.alias("kind"),
+        F.when(kind.isin("gz", "zip"), F.coalesce("lines", F.lit(0))).cast("bigint").alias("lines"),
+        F.coalesce("damaged", F.lit(False)).alias("damaged"),
+    )
+
+
+@query(
+    "ingest_folder",
+    """
+    SELECT 'logs-' || CASE WHEN event_id % 3 = 0 THEN 'gz' ELSE 'plain' END AS dataset, strftime(ts, '%Y.%m.%d') AS day, count(*) AS docs
+    FROM events WHERE event_id % 50 > 2 GROUP BY ALL
+    """,
+    docs=False,
+)
+def ingest_folder(t: Tables) -> DataFrame:
+    # A folder of plain and packed files of many lines each: all datasets in one write and one commit.
+    folder = work_dir(t.spark, "files")
+    lines = event_lines(t.table("events")).withColumn("value", F.replace("value", F.lit('"timestamp"'), F.lit('"@timestamp"')))
+    lines.where("event_id % 3 <> 0").select("value").repartition(12).write.text(f"{folder}/in/plain")
+    lines.where("event_id % 3 = 0").select("value").repartition(6).write.option("compression", "gzip").text(f"{folder}/in/gz")
+    store = Store(t.spark, f"{folder}/store")
+    out = None
+    for kind in ("plain", "gz"):
+        report = ingest_files(store, f"{folder}/in/{kind}/part-*", Options(base=f"logs-{kind}"))
+        if report.where("error is not null").count():
+            raise RuntimeError("no file here is damaged")
+        part = store.read(f"logs-{kind}").select(F.lit(f"logs-{kind}").alias("dataset"), F.date_format("_day", "yyyy.MM.dd").alias("day"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("dataset", "day").agg(F.count(F.lit(1)).alias("docs"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -17,56 +19,118 @@ from lanternlog.functions.text import blank, rstrip, strip
 from lanternlog.model import PROMOTED, SHIP_CONSTANTS, SHIP_DROP, TS, column_of
 
 
-def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of plain and gzip files: ``file``, ``line_no`` (sort key), ``line``.
+#: Compressed files up to this size are unpacked in a task that reports what is wrong with them; larger gzip files are
+#: read by Spark's own reader, piece by piece, and end where they are damaged.
+PACKED = 256 << 20
+_PIECE = 1 << 18
+_PACKED_NAME = r"(?i)\.(gz|zip)$"
 
-    Plain files are split across tasks; the sort key orders lines within a file
-    without numbering them globally. Files whose name starts with a dot are skipped.
-    """
-    lines = spark.read.option("recursiveFileLookup", "false").text(path)
+
+def _named(lines: DataFrame) -> DataFrame:
     decoded = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    lines = lines.select(
+    return lines.select(
         F.coalesce(decoded, F.col("_metadata.file_path")).alias("file"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
         ).alias("line_no"),
         F.col("value").alias("line"),
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"),
     )
-    return lines.where(~F.col("name").startswith(".") & ~F.lower("name").endswith(".zip")).drop("name")
-
-
-def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the first member of each zip archive. An archive cannot be split, so it is one task."""
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-
-    def first_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                # an archive that cannot be read has no lines; whoever lists the files sees it is missing
-                if not zipfile.is_zipfile(io.BytesIO(content)):
-                    continue
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = archive.namelist()
-                    if not members:
-                        continue
-                    with archive.open(members[0]) as member:
-                        chunk: list[str] = []
-                        start = 0
-                        for raw in io.TextIOWrapper(member, encoding="utf-8", errors="replace"):
-                            chunk.append(raw.rstrip("\r\n"))
-                            if len(chunk) == 20_000:
-                                yield _line_frame(name, start, chunk)
-                                start, chunk = start + len(chunk), []
-                        if chunk:
-                            yield _line_frame(name, start, chunk)
-
-    lines = archives.mapInPandas(first_member, "file string, row bigint, line string")
-    return lines.select("file", F.struct(F.lit(0).cast("bigint").alias("block"), "row").alias("line_no"), "line")
-
-
-def _line_frame(name: str, start: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"file": name, "row": range(start, start + len(lines)), "line": lines})
+
+
+def read_log_files(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of plain files, and of gzip files too large to unpack in a task: ``file``, ``line_no`` (sort key), ``line``.
+
+    Plain files are split across tasks; the sort key orders lines within a file
+    without numbering them globally. Files whose name starts with a dot are skipped.
+    """
+    lines = spark.read.option("recursiveFileLookup", "false").option("ignoreCorruptFiles", "true").text(path)
+    name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
+    # conditions on names and sizes choose files before any is opened
+    plain = ~name.rlike(_PACKED_NAME)
+    large = name.rlike(r"(?i)\.gz$") & (size > PACKED)
+    return _named(lines.where(~name.startswith(".") & (plain | large)))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of gzip files and of the first member of each zip archive, and what is wrong with them as rows.
+
+    ``file, line_no, line, error``: one row a line, with a null error, then at most one row a file with a null line and
+    the error that ended it. Lines before the damage are there. A file cannot be split, so it is one task; it is unpacked
+    in bounded pieces, so neither a member's length nor its lines' number matters.
+    """
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,GZ,zip,ZIP}").load(path)
+    packed = packed.where((F.col("length") <= PACKED) | F.lower("path").endswith(".zip"))
+    return unpacked(packed)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """``read_archives`` of packed files that are rows (path, content)."""
+    rows = packed.select("path", "content").mapInPandas(_unpacked, "file string, row bigint, line string, error string")
+    at = F.struct(F.lit(0).cast("bigint").alias("block"), "row")
+    return rows.select("file", at.alias("line_no"), "line", "error")
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for name, content in zip(batch["path"], batch["content"]):
+            if name.rsplit("/", 1)[-1].startswith("."):
+                continue
+            done = 0
+            try:
+                pieces = _gzip_pieces(content) if name.lower().endswith(".gz") else _zip_pieces(content)
+                for lines in _lines_of(pieces):
+                    yield _line_frame(name, done, lines)
+                    done += len(lines)
+            except (OSError, EOFError, RuntimeError, NotImplementedError, zlib.error, zipfile.BadZipFile) as error:
+                yield _line_frame(name, done, [None], str(error) or type(error).__name__)
+
+
+def _gzip_pieces(content: bytes) -> Iterator[bytes]:
+    """Unpacked bytes of all members of a gzip file; a file cut short is an error after what there is."""
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as file:
+        while piece := file.read1(_PIECE):
+            yield piece
+
+
+def _zip_pieces(content: bytes) -> Iterator[bytes]:
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for member in archive.infolist()[:1]:
+            with archive.open(member) as file:
+                while piece := file.read1(_PIECE):
+                    yield piece
+
+
+def _lines_of(pieces: Iterator[bytes], most: int = 20_000) -> Iterator[list[str]]:
+    """Lines in lists of bounded length. What comes before an error comes out before it is raised."""
+    open_line: list[bytes] = []
+    lines: list[str] = []
+    failed: BaseException | None = None
+    text = lambda raw: raw.removesuffix(b"\r").decode("utf-8", "replace")
+    while True:
+        try:
+            piece = next(pieces, None)
+        except Exception as error:
+            failed, piece = error, None
+        if piece is None:
+            break
+        head, *rest = piece.split(b"\n")
+        open_line.append(head)
+        for line in rest:
+            lines.append(text(b"".join(open_line)))
+            open_line = [line]
+        if len(lines) >= most:
+            yield lines
+            lines = []
+    if open_line and any(open_line):
+        lines.append(text(b"".join(open_line)))
+    if lines:
+        yield lines
+    if failed is not None:
+        raise failed
+
+
+def _line_frame(name: str, start: int, lines: list[str | None], error: str | None = None) -> pd.DataFrame:
+    return pd.DataFrame({"file": name, "row": range(start, start + len(lines)), "line": lines, "error": error})
 
 
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -84,8 +148,9 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Plain, gzip and zip files of a folder or glob."""
-    return read_log_files(spark, path).unionByName(read_zip_members(spark, path))
+    """Plain, gzip and zip files of a folder or glob; damaged ones as far as they can be read."""
+    archives = read_archives(spark, path).where("error is null").drop("error")
+    return read_log_files(spark, path).unionByName(archives)
 
 
 # Event lines ----------------------------------------------------------------------

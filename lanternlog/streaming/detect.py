@@ -46,30 +46,29 @@ def write_suppressed(
 
     Each batch runs the batch operator, which splits hot keys, from the kept times the
     previous batch left in ``state/``. Batch folders are overwritten on replay, so a
-    restart neither loses nor repeats an alert. The state is a distributed table with one
-    row per key; with ``keep_seconds`` a key leaves it when its last alert lies that much (and a
-    window) before the latest one of all. Hits that come later than that are kept, not dropped.
+    restart neither loses nor repeats an alert. The state is a distributed table of kept times;
+    with ``keep_seconds`` a time leaves it when it lies that much (and a window) before the latest
+    one of all, and hits that come later than that are kept, not dropped. Only the last two states stay.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        schema = "rule_id string, key string, last_us bigint"
         state = None
         if batch_id > 0:
-            state = spark.read.schema("rule_id string, key string, last_us bigint").parquet(
-                f"{target}/state/batch={batch_id - 1}"
-            )
+            state = spark.read.schema(schema).parquet(f"{target}/state/batch={batch_id - 1}")
         kept_path = f"{target}/alerts/batch={batch_id}"
         suppress(batch, window_seconds, state, limits).write.mode("overwrite").parquet(kept_path)
         kept = spark.read.schema(batch.schema).parquet(kept_path)
-        last = kept.groupBy("rule_id", key_of(F.col("query_key")).alias("key")).agg(
-            F.max(F.unix_micros(TS)).alias("last_us")
-        )
+        times = kept.select("rule_id", key_of(F.col("query_key")).alias("key"), F.unix_micros(TS).alias("last_us"))
         if state is not None:
-            last = state.unionByName(last).groupBy("rule_id", "key").agg(F.max("last_us").alias("last_us"))
+            times = state.unionByName(times)
         if keep_seconds is not None:
-            latest = last.agg(F.max("last_us")).scalar()
-            last = last.where(F.col("last_us") >= latest - (keep_seconds + window_seconds) * 1_000_000)
-        last.write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
+            latest = times.agg(F.max("last_us")).scalar()
+            times = times.where(F.col("last_us") >= latest - (keep_seconds + window_seconds) * 1_000_000)
+        times.write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/state/batch={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

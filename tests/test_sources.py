@@ -145,3 +145,95 @@ def test_many_rules_are_one_scan(spark):
     hits = detect(df, rules)
     assert hits.count() == 100
     assert hits._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_damaged_archives_are_rows(spark, tmp_path):
+    """What can be read is, and what is wrong is one row a file; the others go on."""
+    home = tmp_path / "packed"
+    home.mkdir()
+    text = "".join(f"line {k} é\n" for k in range(30_000)).encode()
+    whole = gzip.compress(text)
+    (home / "whole.gz").write_bytes(whole)
+    (home / "two.log.GZ").write_bytes(gzip.compress(b"a\r\nb") + gzip.compress(b"c\n\nd"))
+    (home / "cut.gz").write_bytes(whole[: len(whole) // 2])
+    (home / "junk.gz").write_bytes(b"not packed")
+    (home / "empty.gz").write_bytes(gzip.compress(b""))
+    (home / ".hidden.gz").write_bytes(whole)
+    with zipfile.ZipFile(home / "bad.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("first.log", text)
+    data = bytearray((home / "bad.zip").read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    (home / "bad.zip").write_bytes(bytes(data))
+    (home / "torn.zip").write_bytes(b"PK no archive")
+    with zipfile.ZipFile(home / "none.zip", "w"):
+        pass
+    rows = L.read_archives(spark, str(home)).collect()
+    lines, errors = {}, {}
+    for r in sorted(rows, key=lambda r: (r["file"], r["line_no"])):
+        name = r["file"].rsplit("/", 1)[-1]
+        (errors if r["error"] else lines).setdefault(name, []).append(r["error"] or r["line"])
+    assert lines["whole.gz"] == text.decode().split("\n")[:-1] and lines["two.log.GZ"] == ["a", "bc", "", "d"]
+    assert 0 < len(lines["cut.gz"]) < 30_000 and lines["cut.gz"][:-1] == lines["whole.gz"][: len(lines["cut.gz"]) - 1]
+    assert {n: len(e) for n, e in errors.items()} == {n: 1 for n in ("cut.gz", "junk.gz", "bad.zip", "torn.zip")}
+    assert not {"empty.gz", "none.zip", ".hidden.gz", "junk.gz", "torn.zip"} & set(lines)
+    store = Store(spark, str(tmp_path / "s"))
+    pipes = parse.Pipelines({"text": lambda d: d})
+    report = {r["file"].rsplit("/", 1)[-1]: r for r in ingest_files(store, str(home), Options(pipeline="text", base="b"), pipes, NOW).collect()}
+    assert report["cut.gz"]["error"].startswith("error: damaged") and report["cut.gz"]["docs"] == len(lines["cut.gz"])
+    assert report["whole.gz"]["error"] is None and report["whole.gz"]["docs"] == 30_000
+    assert store.read("b").count() == sum(r["docs"] for r in report.values())
+
+
+def test_long_member_in_bounded_pieces():
+    """Far more unpacked bytes than are ever held; no list of lines beyond its bound."""
+    import tracemalloc
+
+    packed = gzip.compress(b"0123456789abcde\n" * 4_000_000)
+    tracemalloc.start()
+    sizes = [len(lines) for lines in L._lines_of(L._gzip_pieces(packed))]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(sizes) == 4_000_000 and max(sizes) < 20_000 + L._PIECE and peak < 16 << 20
+
+
+def _alert(n, second, key="k"):
+    return ("r", key, dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=second), "i", f"{n}-{second}", {"a": "1"})
+
+
+@pytest.mark.parametrize("ordered, want", [(False, [700, 800, 1000, 1060]), (True, [700, 800, 1000, 1060])])
+def test_suppression_state_in_the_state_store(spark, tmp_path, ordered, want):
+    """Batches out of order; a late hit inside a kept window is suppressed; what is over leaves the state."""
+    ddl = f"rule_id string, query_key string, `{TS}` timestamp, event_index string, event_id string, fields map<string,string>"
+    batches = [[800, 1000], [820, 1059, 1060], [700, 1100]]
+    rows = [[_alert(n, s) for s in batch] for n, batch in enumerate(batches)] + [[_alert(9, 90_000, None)]]
+    for batch in rows:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    alerts = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = Store(spark, str(tmp_path / "s"))
+    out = SD.suppressed(alerts, 60, 1000, ordered)
+    running = SD.suppress_into(out, store, str(tmp_path / "cp")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    found = store.read("detections").where("fields['query_key'] = '\"k\"'")
+    assert sorted(int(r["fields"]["event.id"].strip('"').split("-")[1]) for r in found.collect()) == want
+    last = [p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress if p["stateOperators"]][-1]
+    assert last <= 2  # the other key's only
+
+
+def test_rules_looked_up_equal_rules_tried(spark):
+    schema = f"_index string, _id string, `{TS}` timestamp, flow_id long, alert_severity int, event_dataset string, source_ip string, tags array<string>, fields map<string,string>"
+    rows = [(f"i-{k % 3}", str(k), NOW, k % 40 if k % 7 else None, k % 5, ["a", "b", None][k % 3], f"10.0.0.{k % 9}", ["t"], {"x.y": f'"{k % 4}"'}) for k in range(400)]
+    df = spark.createDataFrame(rows, schema)
+    rules = [Rule(f"flow {k}", {"term": {"flow_id": k}}, query_key="source.ip") for k in range(50)]
+    rules += [Rule(f"both {k}", {"bool": {"must": [{"term": {"flow_id": k}}], "filter": {"terms": {"event.dataset": ["a", "c"]}}}}, table="i-1") for k in range(50)]
+    rules += [Rule(f"ip {k}", {"term": {"source.ip": {"value": f"10.0.0.{k}"}}}, table="i-*", query_key="x.y") for k in range(9)]
+    rules += [Rule("net", {"term": {"source.ip": "10.0.0.0/30"}}), Rule("tag", {"term": {"tags": "t"}}), Rule("leaf", {"term": {"x.y": "1"}})]
+    rules += [Rule("twice", {"bool": {"must": [{"term": {"flow_id": 1}}, {"term": {"flow_id": 1}}]}}), Rule("text", {"term": {"flow_id": "7"}})]
+    rules += [Rule("none", {"bool": {}}), Rule("bad", {"nonsense": {}}), Rule("wrong", {"term": {"flow_id": "x"}})]
+    from lanternlog.operators.detect import prepare
+
+    looked, tried = prepare(df, rules), prepare(df, rules, indexed=10**9)
+    assert len(looked.indexed) == 109 and not tried.indexed
+    assert looked.errors == tried.errors and {r for r, _ in looked.errors} == {"bad", "wrong"}
+    key = lambda r: (r["rule_id"], r["event_id"], r["query_key"], r["_id"])
+    got, want = (sorted(map(key, detect(df, s, F.lit(NOW)).collect()), key=str) for s in (looked, tried))
+    assert got == want and len(got) > 1000
