@@ -197,13 +197,17 @@ def test_long_member_in_bounded_pieces():
 
 
 def _alert(n, second, key="k"):
-    return ("r", key, dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=second), "i", f"{n}-{second}", {"a": "1"})
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=second)
+    return ("detections", f"{n}/{second}", at.date(), at, at, "r", "r", key, "i", f"{n}-{second}", {"a": "1"})
 
 
 @pytest.mark.parametrize("ordered, want", [(False, [700, 800, 1000, 1060]), (True, [700, 800, 1000, 1060])])
 def test_suppression_state_in_the_state_store(spark, tmp_path, ordered, want):
     """Batches out of order; a late hit inside a kept window is suppressed; what is over leaves the state."""
-    ddl = f"rule_id string, query_key string, `{TS}` timestamp, event_index string, event_id string, fields map<string,string>"
+    ddl = (
+        f"_index string, _id string, _day date, `{TS}` timestamp, alert_time timestamp, rule_id string, rule_name string, "
+        "query_key string, event_index string, event_id string, fields map<string,string>"
+    )
     batches = [[800, 1000], [820, 1059, 1060], [700, 1100]]
     rows = [[_alert(n, s) for s in batch] for n, batch in enumerate(batches)] + [[_alert(9, 90_000, None)]]
     for batch in rows:
