@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: 64-bit words of the smallest and the largest filter. What is broadcast is 16 MB at most; up to eight million ids
-#: it holds sixteen bits for each. Beyond, more and more rows pass, and it only saves less: no row is lost.
+#: 64-bit words of the smallest and the largest filter. What is broadcast is 16 MB at most; up to two million ids
+#: it holds sixty-four bits for each. Beyond, more and more rows pass, and it only saves less: no row is lost.
 LEAST, MOST = 1 << 12, 1 << 21
-_BITS = 16
+_BITS = 64
 
 
 def _place(h: Column, words: int) -> tuple[Column, Column]:

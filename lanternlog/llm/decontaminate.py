@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.llm import bytes as B
-from lanternlog.llm.tables import stored
+from lanternlog.llm.tables import stored, tidy
 
 WINDOW = 13
 SHARE = 20  # contaminated when one word in this many is hit
@@ -243,6 +243,7 @@ def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
     )
 
 
+@tidy
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: how much of it repeats the benchmark, and which items."""
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -257,6 +258,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+@tidy
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lanternlog.llm.tables import stored
+from lanternlog.llm.tables import stored, tidy
 
 #: Groups and (about) terms of a tile: what one task compares at once.
 ROWS, WIDTH = 128, 2048
@@ -363,6 +363,7 @@ def overused(kept: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("lang", "source", "item", _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value"))
 
 
+@tidy
 def audit(
     docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, height: int = ROWS, width: int = WIDTH, held: int = HELD
 ) -> DataFrame:

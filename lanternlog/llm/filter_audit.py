@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanternlog.llm.tables import stored
+from lanternlog.llm.tables import stored, tidy
 
 #: Parts worked on at once in a task: bounds the rows made from one batch.
 PARTS = 64
@@ -134,6 +134,7 @@ def steps(cells: np.ndarray) -> np.ndarray:
     return np.stack(out).transpose(0, 2, 1)  # [count, part, step]
 
 
+@tidy
 def audit(
     docs: DataFrame, labels: DataFrame, filters: Callable[[Column, Column], Mapping[str, Column]] = text_filters
 ) -> DataFrame:

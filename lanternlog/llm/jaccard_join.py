@@ -42,10 +42,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lanternlog.llm import bytes as B
 from lanternlog.llm.bloom import filter_of
 from lanternlog.llm.components import components
-from lanternlog.llm.tables import stored
+from lanternlog.llm.tables import stored, tidy
 
 WORDS, PERCENT = 4, 85
 FREQUENT, OFTEN = 1 << 18, 16
+LOOKED_AT = 3 << 20  # shingles that a task looks at together for frequent ones
 SMALL = 48
 PIVOTS, WIDE = 16, 1 << 14
 CHUNK = 1 << 17  # shingles that the sets of one chunk of a block hold, about
@@ -82,12 +83,23 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that tasks saw often, in order, and how often."""
 
+    def seen_often(parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(parts), return_counts=True)
+        some = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(n[some].astype(np.int64))], names=["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            parts = [flat for flat, _ in _sets(batch.column(0), words)]
-            values, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            some = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(n[some].astype(np.int64))], names=["shingle", "n"])
+            for flat, _ in _sets(batch.column(0), words):
+                parts.append(flat)
+                held += len(flat)
+                if held >= LOOKED_AT:
+                    yield seen_often(parts)
+                    parts, held = [], 0
+        if parts:
+            yield seen_often(parts)
 
     seen = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = seen.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
@@ -363,6 +375,7 @@ class _Chunk:
         return out
 
 
+@tidy
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     signed = stored(signatures(docs, words, percent), "signatures")
@@ -380,6 +393,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
+@tidy
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that remain when one of each component stays: the one with the smallest id.
 

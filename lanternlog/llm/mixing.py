@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lanternlog.llm.tables import stored
+from lanternlog.llm.tables import stored, tidy
 
 LEVELS = ("domain", "lang", "source")
 #: Weights by level and name; names not listed weigh 1.
@@ -82,6 +82,7 @@ def _share(children: DataFrame, up: list[str], name: str) -> DataFrame:
     return ranked.select(*up, name, F.when(F.col("_full"), F.col("cap")).otherwise(part).cast("bigint").alias("given"))
 
 
+@tidy
 def mix(
     docs: DataFrame,
     domain: Column | None = None,

@@ -119,6 +119,19 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
             yield "secret", m.start(1), m.end(1), False
 
 
+def _apart(found: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
+    """Spans that overlap none of the taken ranges; both are in the order of their starts, and walked once."""
+    out = []
+    k, reach = 0, 0  # ranges that begin before the span ends, and how far they reach
+    for s in found:
+        while k < len(taken) and taken[k][0] < s.end:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= s.start:
+            out.append(s)
+    return out
+
+
 def find(text: str | None) -> list[Span]:
     """Spans by kind as listed, then by start."""
     if not text:
@@ -134,10 +147,10 @@ def find(text: str | None) -> list[Span]:
         elif score >= THRESHOLD:
             added.append(Span(kind, start, end, score))
     taken = sorted((s.start, s.end) for s in base)
-    for s in added:
-        if not any(a < s.end and s.start < b for a, b in taken):
-            taken.append((s.start, s.end))
-            base.append(s)
+    for kind in ADDED:  # the spans of one kind are in order and apart from each other
+        free = _apart([s for s in added if s.kind == kind], taken)
+        base += free
+        taken = sorted(taken + [(s.start, s.end) for s in free])
     order = {k: n for n, k in enumerate(BASE + ADDED)}
     return sorted(base, key=lambda s: (order[s.kind], s.start))
 
@@ -198,7 +211,7 @@ def report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in BASE}
-            digests, texts = [], []
+            digests, texts, totals = [], [], []
             for t in batch.column(1):
                 found = find(t.as_py())
                 base = [s for s in found if s.kind in BASE]
@@ -206,11 +219,12 @@ def report(docs: DataFrame) -> DataFrame:
                     counts[k].append(sum(s.kind == k for s in base))
                 digests.append(sha256(_joined(base).encode()).hexdigest())
                 texts.append(_joined(found))
+                totals.append(len(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests), pa.array(texts)],
-                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
+                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(totals, pa.int64())],
+                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in BASE)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_spans bigint")

@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.llm import bytes as B
 from lanternlog.llm.bloom import bits_of, within
-from lanternlog.llm.tables import stored
+from lanternlog.llm.tables import stored, tidy
 
 SPAN, GRAM = 200, 32
 OFFSETS = SPAN - GRAM + 1
-BLOCK, CROWD = 32, 256
+BLOCK, CROWD = 32, 4096
 _SLICE = 1 << 20  # bytes of text whose windows a task holds at once
 _U = np.uint64
 
@@ -378,6 +378,7 @@ def _cut(text: bytes, ranges: list[dict]) -> tuple[int, int, str]:
     return gone, spans, rest.hexdigest()
 
 
+@tidy
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     text = F.coalesce(docs["text"], F.lit(""))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
 
 from lanternlog import session
 
+#: Folders written by the operators that are at work, innermost last.
+_written: list[list[str]] = []
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the cluster's shared folder and read it back.
@@ -15,4 +21,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = session.work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def tidy(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that removes, when its plan is made, the tables it wrote and its result does not read."""
+
+    @wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        _written.append([])
+        try:
+            out = make(*args, **kwargs)
+        finally:
+            own = _written.pop()
+        read = out.inputFiles()
+        for path in own:
+            name = path.rsplit("/", 1)[-1]
+            if not any(f"/{name}/" in file for file in read):
+                remove(out.sparkSession, path)
+            elif _written:
+                _written[-1].append(path)  # whoever called this operator may be done with it
+        return out
+
+    return run
