@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanternlog import session
 from lanternlog.llm import decontaminate, jaccard_join, mixing, pii, quality
-from lanternlog.llm.tables import stored
+from lanternlog.llm.tables import remove, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,9 +58,18 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
+def _folder(table: DataFrame) -> str | None:
+    """Where a written table lies; an empty one may have no files."""
+    files = table.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over the documents, each written and read again; what a stage read is removed once it is written."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before:
+            remove(spark, before)
+        before = _folder(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
