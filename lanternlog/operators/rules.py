@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternlog.functions.text import strip as _strip
 from lanternlog.model import RULE_ACTIONS
+
+
 def _action(text: Column) -> Column:
     return F.regexp_extract(text, r"(?U)^\s*(\S+)", 1)
 
@@ -50,6 +52,22 @@ def catalog(lines: DataFrame) -> DataFrame:
     ).where("name <> ''")
 
 
+def faulty_lines(lines: DataFrame) -> DataFrame:
+    """Every line that counts as an error, also those that the catalog cannot name, and what is wrong with it.
+
+    ``file, line_no, source, action, sid, faults``: ``faults`` names an unknown ``action`` and missing options.
+    """
+    text = _strip(F.col("line"))
+    faults = F.concat_ws(
+        ",",
+        F.when(~_action(text).isin(RULE_ACTIONS), "action"),
+        *[F.when(~text.contains(f"{option}:"), option) for option in ("msg", "sid", "rev")],
+    )
+    return lines.where(has_error(F.col("line"))).select(
+        "file", "line_no", "source", _action(text).alias("action"), _option(text, "sid").alias("sid"), faults.alias("faults")
+    )
+
+
 def search_rules(
     rules: DataFrame, q: str = "", source: str = "", status: str = "", limit: int = 10
 ) -> tuple[DataFrame, DataFrame]:

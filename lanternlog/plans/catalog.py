@@ -141,6 +141,24 @@ def rule_counts(t: Tables) -> DataFrame:
     return R.rule_counts(rule_lines(t.lines("events")))
 
 
+@query(
+    "rule_faults",
+    "WITH "
+    + RULES_SQL.strip()
+    + """
+    SELECT file, line_no, source, regexp_extract(line, '^\\s*(\\S+)', 1) AS action,
+      CASE WHEN contains(line, 'sid:') THEN trim(split_part(substr(line, strpos(line, 'sid:') + 4), ';', 1)) END AS sid,
+      concat_ws(',', CASE WHEN starts_with(line, 'notify') THEN 'action' END, CASE WHEN NOT contains(line, 'msg:') THEN 'msg' END,
+        CASE WHEN NOT contains(line, 'sid:') THEN 'sid' END, CASE WHEN NOT contains(line, 'rev:') THEN 'rev' END) AS faults
+    FROM rule_lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') AND (starts_with(line, 'notify')
+      OR NOT contains(line, 'msg:') OR NOT contains(line, 'sid:') OR NOT contains(line, 'rev:'))
+    """,
+    docs=False,
+)
+def rule_faults(t: Tables) -> DataFrame:
+    return R.faulty_lines(rule_lines(t.lines("events")))
+
+
 @query(
     "rule_hits",
     _CATALOG_SQL.replace("WITH", "WITH", 1)

@@ -78,6 +78,11 @@ _matching(
     "regexp_matches(message, '(^|[^a-z0-9_])signup([^a-z0-9_]|$)') OR regexp_matches(message, '(^|[^a-z0-9_])12([^a-z0-9_]|$)')",
     {"search": {"query": "12 signup", "operator": "or", "fields": ["message"]}},
 )
+_matching(
+    "text_all_fields",
+    "alert_action = 'blocked' OR event_dataset = 'suricata.tls' OR app_proto = 'tls' OR rule_name = 'RULE-3'",
+    {"search": {"query": "BLOCKED tls rule-3", "operator": "or"}},
+)
 @query("filter_leaf_map", "SELECT _id FROM docs WHERE alert_severity = 2 AND alert_action = 'blocked' AND NOT tagged_alert")
 def filter_leaf_map(t: Tables) -> DataFrame:
     # Without promoted columns the same filter reads the leaf map.

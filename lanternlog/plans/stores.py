@@ -239,6 +239,30 @@ def store_rollback(t: Tables) -> DataFrame:
     return docs.select("_id", _score().alias("score"), F.col("network_transport").alias("transport"))
 
 
+@query(
+    "store_overview",
+    """
+    SELECT event_dataset, count(*) AS docs, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, true AS near FROM (
+      SELECT CASE WHEN _index = 'suricata-2024.01.03' AND event_dataset = 'suricata.dns' THEN 'x' ELSE event_dataset END AS event_dataset, ts_ms
+      FROM docs) GROUP BY 1
+    """,
+)
+def store_overview(t: Tables) -> DataFrame:
+    # From counts and sketches written with the parts; only the day that a run has changed is read.
+    store = _store(t)
+    store.tallies("suricata")
+    dns = {"bool": {"must": [{"term": {"event.dataset": "suricata.dns"}}, {"term": {"_index": "suricata-2024.01.03"}}]}}
+    _run(store, lambda ctx: ctx.update_by_query("suricata", dns, {"event.dataset": "x"}))
+    store.tallies("suricata")
+    found = store.tallies("suricata").groupBy("event_dataset").agg(
+        F.sum("docs").alias("docs"), F.min(F.unix_millis("first")).alias("first_ms"), F.max(F.unix_millis("last")).alias("last_ms"),
+        F.hll_sketch_estimate(F.hll_union_agg("sources")).alias("estimate"),
+    )
+    exact = store.read("suricata").groupBy("event_dataset").agg(F.count_distinct("source_ip").alias("n"))
+    near = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.col("n") * 0.05, F.lit(2))
+    return found.join(exact, "event_dataset").select("event_dataset", "docs", "first_ms", "last_ms", near.alias("near"))
+
+
 # Streams ---------------------------------------------------------------------------------
 
 

@@ -24,13 +24,13 @@ from typing import Any
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanternlog.model import AUDIT_DDL, document_ddl
+from lanternlog.model import AUDIT_DDL, TS, document_ddl
 from lanternlog.operators.patches import BORN, apply_patches, born
 from lanternlog.operators.views import DETECTIONS, Catalog
 
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 _WHOLE = 64
-_EMPTY: dict[str, Any] = {"ticket": 0, "bases": {}, "runs": [], "given_up": [], "views": {}, "streams": {}}
+_EMPTY: dict[str, Any] = {"ticket": 0, "bases": {}, "runs": [], "given_up": [], "views": {}, "streams": {}, "tallies": {}}
 
 #: Part of a version: dataset, ticket, operation and days.
 Part = tuple[str, int, int, list[str]]
@@ -62,6 +62,9 @@ def advance(state: dict[str, Any], change: dict[str, Any]) -> dict[str, Any]:
         out["given_up"] = sorted({*state["given_up"], *change["given_up"]})
     if "views" in change:
         out["views"] = change["views"]
+    if "tallied" in change:
+        named = {f"{base}/{t}/{o}": change["folder"] for base, t, o in change["tallied"]}
+        out["tallies"] = {**state.get("tallies", {}), **named}
     if stream := change.get("stream"):
         out["streams"] = {**state["streams"], stream[0]: stream[1]}
     return out
@@ -221,14 +224,23 @@ class Store:
         """The days a dataset has documents of."""
         return sorted({d for _, _, days in self._known(base)["parts"] for d in days})
 
-    def stored(self, base: str, extra: Iterable[Part] = (), fresh: bool = False, newer: int | None = None) -> DataFrame:
+    def stored(
+        self,
+        base: str,
+        extra: Iterable[Part] = (),
+        fresh: bool = False,
+        newer: int | None = None,
+        only: Iterable[str] | None = None,
+    ) -> DataFrame:
         """Documents as written, before any patch that is not folded in, with their age (``BORN``). One scan.
 
         ``extra`` adds parts of an open run; ``fresh`` leaves out what the dataset held before that run dropped it;
-        ``newer`` leaves out parts up to a ticket.
+        ``newer`` leaves out parts up to a ticket, ``only`` all but some days.
         """
         parts = [] if fresh else [tuple(p) for p in self._known(base)["parts"] if newer is None or p[0] > newer]
         parts += [(t, o, days) for b, t, o, days in extra if b == base]
+        if only is not None:
+            parts = [p for p in ((t, o, [d for d in days if d in set(only)]) for t, o, days in parts) if p[2]]
         columns = self._columns()
         if not parts:
             empty = self.spark.createDataFrame([], document_ddl())
@@ -256,10 +268,12 @@ class Store:
         fresh: bool = False,
         upto: int | None = None,
         newer: int | None = None,
+        only: Sequence[str] | None = None,
     ) -> DataFrame:
         extra = list(extra)
-        docs = self.stored(base, extra, fresh, newer)
+        docs = self.stored(base, extra, fresh, newer, only)
         present = {d for b, _, _, days in extra if b == base for d in days} | (set() if fresh else set(self.days(base)))
+        present &= present if only is None else set(only)
         earlier = [] if fresh else self._records_after(self._known(base)["folded"], upto)
         pending = [p for p in [*earlier, *own] if present & set(p[2])]
         touched = sorted(present & {d for _, _, days in pending for d in days})
@@ -272,6 +286,40 @@ class Store:
         hit = _on_days("_day", touched)
         return docs.where(~hit).unionByName(apply_patches(docs.where(hit), mine))
 
+    def tallies(self, base: str) -> DataFrame:
+        """``_day, event_dataset, docs, first, last, sources``: counts, times and a sketch of source addresses.
+
+        Written once for each part, since parts never change, and merged when asked for; only parts that nobody has
+        asked about yet and days with records that are not folded in are read. ``sources`` merges with
+        ``hll_union_agg`` and is estimated by ``hll_sketch_estimate``.
+        """
+        state, known = self._now(), self._known(base)
+        parts = [tuple(p) for p in known["parts"]]
+        done = state.get("tallies", {})
+        new = [(base, t, o, days) for t, o, days in parts if f"{base}/{t}/{o}" not in done]
+        if new:
+            # all days of the new parts as they were written, whichever of them are still to be seen
+            written = self.stored(base, new, fresh=True).select(*self._columns(), BORN)
+            folder = f"tallies/{uuid.uuid4().hex}"
+            at = F.input_file_name()
+            place = [F.regexp_extract(at, f"/{k}=(\\d+)/", 1).cast("bigint").alias(k) for k in ("v", "o")]
+            _tallied(written, place).withColumn("base", F.lit(base)).write.parquet(f"{self.root}/{folder}")
+            self._commit({"tallied": [[b, t, o] for b, t, o, _ in new], "folder": folder})
+            done = self._now()["tallies"]
+        pending = self.pending_days(base)
+        seen = [(t, o, d) for t, o, days in parts for d in days if d not in pending]
+        patched = _tallied(self._current(base, only=pending), [])
+        folders = sorted({f"{self.root}/{done[f'{base}/{t}/{o}']}" for t, o, _ in parts})
+        if not seen:
+            return _merged(patched)
+        spark = self.spark
+        visible = spark.createDataFrame(seen, "v bigint, o bigint, d string")
+        visible = visible.select("v", "o", F.when(F.col("d") != _NO_DAY, F.col("d")).cast("date").alias("d"))
+        rows = spark.read.parquet(*folders).where(F.col("base") == base)
+        same = (rows["v"] == visible["v"]) & (rows["o"] == visible["o"]) & rows["_day"].eqNullSafe(visible["d"])
+        kept = rows.join(visible, same, "left_semi").select(*patched.columns)
+        return _merged(kept.unionByName(patched) if pending else kept)
+
     def catalog(self) -> Catalog:
         out = Catalog(views=self._views(), saved=self._save_views)
         for base in self.bases():
@@ -423,6 +471,21 @@ class Store:
         self._commit({"views": views})
 
 
+def _tallied(docs: DataFrame, place: list[Column]) -> DataFrame:
+    return docs.groupBy(*place, "_day", "event_dataset").agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.min(TS).alias("first"),
+        F.max(TS).alias("last"),
+        F.hll_sketch_agg("source_ip").alias("sources"),
+    )
+
+
+def _merged(tallies: DataFrame) -> DataFrame:
+    return tallies.groupBy("_day", "event_dataset").agg(
+        F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.hll_union_agg("sources").alias("sources")
+    )
+
+
 def _on_days(column: str, days: Sequence[str]) -> Column:
     """The day is one of ``days`` (folder names); never null, so its negation holds for rows without a day."""
     dated = F.col(column).isin([F.lit(d).cast("date") for d in days if d != _NO_DAY])

@@ -471,3 +471,21 @@ def test_targets_run_in_the_order_given(spark, tmp_path):
     stores = {n: Store(spark, str(tmp_path / n)) for n in names}
     run_enrichment(Enrichment("e", lambda ctx: order.append(ctx.cluster), names), stores)
     assert order == names
+
+
+def test_counts_are_read_from_tallies(spark, store):
+    """Once asked for, counts come without a scan of documents; days that are patched or rewritten are counted anew."""
+    count = lambda: {(str(r["_day"])[-2:], r["event_dataset"]): r["docs"] for r in store.tallies("suricata").collect()}
+    whole = {("01", "suricata.alert"): 1, ("02", "suricata.alert"): 1, ("03", "suricata.flow"): 1}
+    assert count() == whole
+    again = store.tallies("suricata")
+    assert all("/tallies/" in f for f in again.inputFiles()) and count() == whole
+    run(store, lambda ctx: ctx.update_doc(T1, "1", {"event.dataset": "x"}))
+    assert count() == {("01", "x"): 1, ("02", "suricata.alert"): 1, ("03", "suricata.flow"): 1}
+    files = [f for f in store.tallies("suricata").inputFiles() if "/docs/" in f]
+    assert files and all("_day=2024-01-01" in f for f in files)
+    store.compact("suricata")
+    store.write(documents(spark, {"3": {"k": 1}}), "suricata")
+    assert count() == {("01", "x"): 1, ("02", "suricata.alert"): 1, ("03", "suricata.flow"): 1, ("03", None): 1}
+    store.write(documents(spark, {"2": {"k": 1}}), "suricata", mode="replace")
+    assert count() == {("02", None): 1}
