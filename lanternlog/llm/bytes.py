@@ -5,7 +5,9 @@ Helpers of the operators; they run inside tasks on one Arrow batch, cut into sli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from hashlib import blake2b
 
 import numpy as np
@@ -33,6 +35,28 @@ ALNUM = _table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function that hands memory it no longer needs back when it ends.
+
+    Python workers live on between tasks and stages; what their allocators keep would add up beside the JVM.
+    """
+
+    @wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins (one more than rows); null is empty."""
     column = column.cast(pa.large_binary())

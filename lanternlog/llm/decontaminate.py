@@ -223,6 +223,7 @@ def matches(
     while some:
         shared = spark.sparkContext.broadcast(some)
 
+        @B.released
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             queries = [Queries(items, window) for items in shared.value]
             for batch in batches:

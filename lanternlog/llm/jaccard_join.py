@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternlog.llm import bytes as B
-from lanternlog.llm.bloom import filter_of
+from lanternlog.llm.bloom import bits_of, filter_of, within
 from lanternlog.llm.components import components
 from lanternlog.llm.tables import stored, tidy
 
 WORDS, PERCENT = 4, 85
 FREQUENT, OFTEN = 1 << 18, 16
-LOOKED_AT = 3 << 20  # shingles that a task looks at together for frequent ones
+LOOKED_AT = 2 << 20  # shingles that a task looks at together for frequent ones
 SMALL = 48
 PIVOTS, WIDE = 16, 1 << 14
 CHUNK = 1 << 17  # shingles that the sets of one chunk of a block hold, about
@@ -88,6 +88,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         some = n > 1
         return pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(n[some].astype(np.int64))], names=["shingle", "n"])
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         held = 0
@@ -115,6 +116,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         for batch in batches:
@@ -157,16 +159,22 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     The texts stay where they are: a join would shuffle every one of them.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(wanted.select(F.xxhash64("id").alias("h")), "h"))
+
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
+            batch = batch.filter(pa.array(within(bits, batch.column(2).to_numpy())))
             done = 0
             for flat, begin in _sets(batch.column(1), words):
                 n = len(begin) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), B.lists(flat, begin, pa.int64())], names=["id", "shingles"])
                 done += n
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where(filter_of(wanted, "id")(F.col("id")))
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>")
+    # looked up where the shingles are made, by the one Python worker of a task
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null")
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def _may_link(n: str, m: str, percent: int) -> Column:
@@ -305,6 +313,7 @@ def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = one.unionByName(two).join(sets, "id").select(F.xxhash64(*place).alias("block"), *place, "side", "id", "shingles")
     dealt = dealt.repartition("block").sortWithinPartitions(*place, "side")
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, known = None, _Chunk(percent)
         for batch in batches:

@@ -124,26 +124,35 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         flat = np.zeros((TERMS + LENGTHS + REPEATS, RANK), np.float32)
         return Model(flat[:TERMS, 0], flat, none, none[:, 0], none[:, 0], share)
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.astype(np.uint32).tobytes() for x in blocks(batch.column(0)) for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["label", "counts"])
+            rows = [r for x in blocks(batch.column(0)) for r in x]
+            terms = pa.array([np.flatnonzero(r) for r in rows], pa.list_(pa.int32()))
+            times = pa.array([r[r > 0].astype(np.int64) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), terms, times], names=["label", "terms", "times"])
 
     # at most per_class ids of either label are broadcast; of the rows of one id the smallest text is learnt from
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-    sample = texts.select("text", "label").mapInArrow(run, "label int, counts binary").collect()
-    x = np.stack([np.frombuffer(r["counts"], np.uint32) for r in sample]).astype(np.float32)
-    y = np.array([r["label"] for r in sample], np.float32)
+    sample = texts.select("text", "label").mapInArrow(run, "label int, terms array<int>, times array<bigint>").toArrow()
+    y = sample.column("label").to_numpy().astype(np.float32)
+    x = np.zeros((len(y), TERMS + LENGTHS + REPEATS), np.float32)  # a bounded sample: at most 2 per_class rows
+    for row, terms, times in zip(x, sample.column("terms"), sample.column("times"), strict=True):
+        row[terms.values.to_numpy()] = times.values.to_numpy()
+    del sample
     weight = (np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(0))) + 1).astype(np.float32)
-    z = features(x, weight)
+    z = x
+    for k in range(0, len(x), _BLOCK):
+        z[k : k + _BLOCK] = features(x[k : k + _BLOCK], weight)
     # truncated singular value decomposition by subspace iteration
     axes = np.random.default_rng(7).standard_normal((z.shape[1], RANK)).astype(np.float32)
     for _ in range(6):
         axes, _ = np.linalg.qr(z.T @ (z @ axes))
     votes = np.array([total[int(k)] / max(1, (y == k).sum()) for k in y])
-    model = Model(weight, axes, none, y, votes / votes.max(), share)
-    return Model(weight, axes, model.project(x), y, model.votes, share)
+    vectors = z @ axes
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return Model(weight, axes, vectors, y, votes / votes.max(), share)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
@@ -151,6 +160,7 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("doc"), docs["text"].alias("text"))
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [shared.value.scores(x) for x in blocks(batch.column(1))]

@@ -218,6 +218,7 @@ def _anchored(texts: DataFrame, one: np.ndarray, wanted: np.ndarray | None = Non
     """
     shared = texts.sparkSession.sparkContext.broadcast((one, wanted))
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, wanted = shared.value
         for batch in batches:
@@ -244,6 +245,7 @@ def _texts_of(texts: DataFrame, keys: DataFrame, one: np.ndarray) -> DataFrame:
     """key and text of the texts (key, text, mark) that take part and whose key is in ``keys``, and of a few others."""
     shared = texts.sparkSession.sparkContext.broadcast((one, bits_of(keys.select(F.xxhash64("key").alias("h")), "h")))
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, wanted = shared.value
         for batch in batches:
@@ -259,6 +261,7 @@ def _compared(segments: DataFrame) -> DataFrame:
     """anchor, segment, start and stop (offsets from the anchor) of repeated windows, groups side by side in tasks."""
     dealt = segments.repartition("group").sortWithinPartitions("group")
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -398,6 +401,7 @@ def report(docs: DataFrame) -> DataFrame:
     ranges = stored(_ranges(texts, one).join(copied, "key", "left_anti"), "ranges")
     cut = _texts_of(texts, ranges, one).join(ranges, "key")
 
+    @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_cut(t.as_py().encode(), r.as_py()) for t, r in zip(batch.column(1), batch.column(2), strict=True)]
