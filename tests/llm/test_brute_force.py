@@ -3,6 +3,9 @@ import random
 import re
 from hashlib import sha256
 
+import numpy as np
+import pytest
+
 from lanternlog.llm import decontaminate, jaccard_join, neighbours
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -133,6 +136,73 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 10 * len(queries)
 
 
+def _recall(rows, got, every=100, k=10):
+    """Share of the true neighbours found; checks scores and order on the way."""
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    mine = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        mine.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    hits = total = 0
+    for q in np.flatnonzero(ids % every == 0):
+        away = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, away)) if ids[i] != ids[q]][:k]
+        found = mine[int(ids[q])]
+        assert len(found) == len(order) and found == sorted(found)
+        exact = dict(zip(ids.tolist(), away.tolist(), strict=True))
+        assert all(math.isclose(s, exact[v], rel_tol=1e-12, abs_tol=1e-12) for s, v in found)
+        hits += len({v for _, v in found} & {int(ids[i]) for i in order})
+        total += len(order)
+    return hits / total
+
+
+@pytest.mark.parametrize("kind", ["random", "grouped", "hot"])
+def test_neighbours_over_many_cells(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(neighbours, "TASKS", 7)
+    rng = np.random.default_rng(3)
+    if kind == "random":
+        vectors = rng.standard_normal((1500, 64))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    else:
+        vectors = rng.standard_normal((12, 16))[rng.integers(0, 12, 1500)] * 4 + rng.standard_normal((1500, 16)) * 0.2
+    if kind == "hot":
+        vectors[rng.permutation(1500)[:500]] = vectors[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, score string")
+    got = neighbours.report(table, every=25).collect()
+    assert _recall(rows, got, every=25) >= 0.95
+
+
+def test_cells_out_of_reach_are_left_out():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 8)) * 10
+    own = rng.integers(0, 40, 400)
+    vectors = centres[own] + rng.standard_normal((400, 8)) * 0.3
+    farthest = np.array([np.sqrt(((vectors[own == c] - centres[c]) ** 2).sum(1)).max() for c in range(40)])
+    limit = np.full(400, 1.5)
+    row, cell = neighbours.within_reach(vectors, limit, own, centres, farthest)
+    assert len(row) < 400 * 4
+    reached = set(zip(row.tolist(), cell.tolist(), strict=True))
+    for q in range(400):
+        for v in np.flatnonzero(np.sqrt(((vectors - vectors[q]) ** 2).sum(1)) <= 1.5):
+            assert own[v] == own[q] or (q, own[v]) in reached
+    everywhere = neighbours.within_reach(vectors, np.full(400, np.inf), own, centres, farthest)
+    assert len(everywhere[0]) == 400 * 39
+
+
+def test_neighbours_of_odd_tables(spark):
+    schema = "vec_id bigint, embedding array<double>, rank int, query_id string"
+    assert neighbours.report(spark.createDataFrame([], schema)).count() == 0
+    assert neighbours.report(spark.createDataFrame([(1, [1.0], 1, "a"), (None, [2.0], 1, None)], schema)).count() == 0
+    big = [(0, [1e200, 0.0], 1, ""), (1, [-1e200, 1.0], 1, ""), (2, [1e308, 1e308], 1, ""), (100, [1e200, 0.0], 1, ""), (100, [1e200, 0.0], 2, "")]
+    got = neighbours.report(spark.createDataFrame(big, schema)).collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 0][:2] == [100, 100]  # repeated rows are rows
+    assert sorted(r["vec_id"] for r in got if r["query_id"] == 100) == [0, 1, 2]
+    few = neighbours.report(spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (7, [1.0, 1.0], 0, ""), (5, [1.0, -1.0], 0, "")], schema))
+    assert [tuple(r) for r in few.orderBy("rank").collect()] == [(0, 1, 5, 1.0), (0, 2, 7, 1.0)]
+
+
 def test_decontamination_in_many_passes(spark, monkeypatch):
     """A benchmark of many blocks, two in a pass, finds what one block finds."""
     monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
