@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "national_id", "local_phone", "secret")
+ADDED = ("iban", "national_id", "local_phone", "credential", "secret")
 
 # Fixed values of the contract: the base patterns, in possessive or anchored form where that matches the same.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -32,7 +32,32 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password)\b {0,3}[:=] {0,3}[\"']?([A-Za-z0-9_+/=.-]{16,})")
+_SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|auth[_-]?key|token|secret|password|passwd|pwd)\b[\"']? {0,3}[:=] {0,3}[\"']?([A-Za-z0-9_+/=.!@#$%^*-]{8,})")
+
+# Formats of credentials and national numbers that their issuers publish, by a text that each of them holds.
+_CREDENTIALS = [
+    ("AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
+    ("ASIA", re.compile(r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
+    ("AIza", re.compile(r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9])")),
+    *((f"gh{k}_", re.compile(rf"(?<![A-Za-z0-9])gh{k}_[A-Za-z0-9]{{36,}}+")) for k in "oprsu"),
+    ("github_pat_", re.compile(r"(?<![A-Za-z0-9])github_pat_[A-Za-z0-9_]{22,}+")),
+    ("glpat-", re.compile(r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_-]{20,}+")),
+    ("xox", re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+")),
+    ("_live_", re.compile(r"(?<![A-Za-z0-9])[rs]k_live_[A-Za-z0-9]{16,}+")),
+    ("eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")),
+    (
+        "PRIVATE KEY-----",
+        re.compile(
+            r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:\s{1,4}(?:Proc-Type|DEK-Info):[^\n]{0,200}+)*+(?:\s{1,4}[A-Za-z0-9+/=]{16,}+)*+"
+            r"(?:\s{0,4}[A-Za-z0-9+/=]{0,15}\s{0,4}-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+        ),
+    ),
+]
+_CPF = re.compile(r"(?<![0-9.-])[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}(?![0-9.-])")
+_NIR = re.compile(r"(?<![0-9])[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])")
+_NINO = re.compile(r"(?<![A-Za-z0-9])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D](?![A-Za-z0-9])")
+_DNI = re.compile(r"(?<![A-Za-z0-9])[0-9XYZ][0-9]{7}-?[A-Z](?![A-Za-z0-9])")
+_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 #: Words that make a kind likelier when they stand within ``NEAR`` characters before a span.
 CONTEXT = {
@@ -41,15 +66,16 @@ CONTEXT = {
     "card": ("card", "visa", "credit", "pay"),
     "phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
-    "national_id": ("ssn", "social", "security", "insurance"),
+    "national_id": ("ssn", "social", "security", "insurance", "cpf", "dni", "nie", "nino", "national id"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax"),
+    "credential": ("key", "token", "secret", "credential"),
     "secret": ("key", "token", "secret", "password"),
 }
 NEAR = 48
 #: What a pattern alone, a passed checksum and a context word are worth.
 PRIOR = {
     "email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6,
-    "iban": 0.3, "national_id": 0.4, "local_phone": 0.4, "secret": 0.7,
+    "iban": 0.3, "national_id": 0.4, "local_phone": 0.4, "credential": 0.7, "secret": 0.7,
 }
 CHECKED, NEARBY, THRESHOLD = 0.4, 0.2, 0.6
 
@@ -74,6 +100,24 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def cpf(number: str) -> bool:
+    """Both check digits of eleven digits, the repeated digit apart."""
+    d = [int(c) for c in number]
+    check = lambda n: sum(x * w for x, w in zip(d, range(n + 1, 1, -1))) * 10 % 11 % 10  # noqa: B905, E731
+    return len(set(d)) > 1 and check(9) == d[9] and check(10) == d[10]
+
+
+def nir(number: str) -> bool:
+    """Thirteen digits and 97 less their remainder."""
+    return 97 - int(number[:13]) % 97 == int(number[13:])
+
+
+def dni(number: str) -> bool:
+    """Eight digits (the first may be X, Y or Z) and a letter for their remainder."""
+    first = str("XYZ".index(number[0])) if number[0] in "XYZ" else number[0]
+    return _DNI_LETTERS[int(first + number[1:8]) % 23] == number[-1]
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -111,12 +155,25 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in _IBAN.finditer(text):
         if 15 <= len(account := m[0].replace(" ", "")) <= 34 and mod97(account):
             yield "iban", m.start(), m.end(), True
-    for kind, pattern in (("national_id", _NATIONAL), ("local_phone", _LOCAL_PHONE)):
+    for kind, pattern in (("national_id", _NATIONAL), ("national_id", _NINO), ("local_phone", _LOCAL_PHONE)):
         for m in pattern.finditer(text):
             yield kind, m.start(), m.end(), False
+    for pattern, passes in ((_CPF, cpf), (_NIR, nir)):
+        for m in pattern.finditer(text):
+            if passes(_digits(m[0])):
+                yield "national_id", m.start(), m.end(), True
+    for m in _DNI.finditer(text):  # one letter in 23 fits by chance, so a word nearby has to speak for it as well
+        if dni(m[0]):
+            yield "national_id", m.start(), m.end(), False
+    for part, pattern in _CREDENTIALS:
+        if part in text:
+            for m in pattern.finditer(text):
+                yield "credential", m.start(), m.end(), False
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            yield "secret", m.start(1), m.end(1), False
+            # a shorter value is a word of prose unless letters and digits are mixed
+            if len(m[1]) >= 16 or (re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])):
+                yield "secret", m.start(1), m.end(1), False
 
 
 def _apart(found: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
@@ -147,8 +204,12 @@ def find(text: str | None) -> list[Span]:
         elif score >= THRESHOLD:
             added.append(Span(kind, start, end, score))
     taken = sorted((s.start, s.end) for s in base)
-    for kind in ADDED:  # the spans of one kind are in order and apart from each other
-        free = _apart([s for s in added if s.kind == kind], taken)
+    for kind in ADDED:
+        own: list[Span] = []  # in order and apart from each other, of overlapping ones the first and longest
+        for s in sorted((s for s in added if s.kind == kind), key=lambda s: (s.start, -s.end)):
+            if not own or s.start >= own[-1].end:
+                own.append(s)
+        free = _apart(own, taken)
         base += free
         taken = sorted(taken + [(s.start, s.end) for s in free])
     order = {k: n for n, k in enumerate(BASE + ADDED)}
