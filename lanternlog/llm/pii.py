@@ -53,6 +53,7 @@ _CREDENTIALS = [
         ),
     ),
 ]
+_DIGIT, _TWO_DIGITS = re.compile("[0-9]"), re.compile("[0-9]{2}")
 _CPF = re.compile(r"(?<![0-9.-])[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}(?![0-9.-])")
 _NIR = re.compile(r"(?<![0-9])[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])")
 _NINO = re.compile(r"(?<![A-Za-z0-9])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D](?![A-Za-z0-9])")
@@ -142,29 +143,31 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """(kind, start, end, checksum passed)"""
     if "@" in text:
         yield from (("email", s, e, False) for s, e in _emails(text))
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
-            yield "ip", m.start(), m.end(), False
-    for m in _CARD.finditer(text):
-        if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
-            yield "card", m.start(), m.end(), True
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 9 <= len(_digits(m[0])) <= 15:
-                yield "phone", m.start(), m.end(), False
-    for m in _IBAN.finditer(text):
-        if 15 <= len(account := m[0].replace(" ", "")) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end(), True
-    for kind, pattern in (("national_id", _NATIONAL), ("national_id", _NINO), ("local_phone", _LOCAL_PHONE)):
-        for m in pattern.finditer(text):
-            yield kind, m.start(), m.end(), False
-    for pattern, passes in ((_CPF, cpf), (_NIR, nir)):
-        for m in pattern.finditer(text):
-            if passes(_digits(m[0])):
-                yield "national_id", m.start(), m.end(), True
-    for m in _DNI.finditer(text):  # one letter in 23 fits by chance, so a word nearby has to speak for it as well
-        if dni(m[0]):
-            yield "national_id", m.start(), m.end(), False
+    if _DIGIT.search(text):
+        for m in _IP.finditer(text):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
+                yield "ip", m.start(), m.end(), False
+        for m in _CARD.finditer(text):
+            if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+                yield "card", m.start(), m.end(), True
+        if "+" in text:
+            for m in _PHONE.finditer(text):
+                if 9 <= len(_digits(m[0])) <= 15:
+                    yield "phone", m.start(), m.end(), False
+    if _TWO_DIGITS.search(text):  # as every number below holds
+        for m in _IBAN.finditer(text):
+            if 15 <= len(account := m[0].replace(" ", "")) <= 34 and mod97(account):
+                yield "iban", m.start(), m.end(), True
+        for kind, pattern in (("national_id", _NATIONAL), ("national_id", _NINO), ("local_phone", _LOCAL_PHONE)):
+            for m in pattern.finditer(text):
+                yield kind, m.start(), m.end(), False
+        for pattern, passes in ((_CPF, cpf), (_NIR, nir)):
+            for m in pattern.finditer(text):
+                if passes(_digits(m[0])):
+                    yield "national_id", m.start(), m.end(), True
+        for m in _DNI.finditer(text):  # one letter in 23 fits by chance, so a word nearby has to speak for it as well
+            if dni(m[0]):
+                yield "national_id", m.start(), m.end(), False
     for part, pattern in _CREDENTIALS:
         if part in text:
             for m in pattern.finditer(text):
