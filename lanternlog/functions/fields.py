@@ -47,20 +47,19 @@ def _bare(entry: Column) -> Column:
 
 
 def _rounds(text: Column) -> Column:
-    """As many rounds as a document may need: its text opens no object more often than it has braces."""
-    braces = F.length(text) - F.length(F.translate(text, "{", ""))
-    return F.sequence(F.lit(1), F.greatest(braces, F.lit(1)))
+    """As many rounds as a document may need: a level of objects takes five characters of its text or more."""
+    return F.sequence(F.lit(1), F.floor(F.length(text) / 5).cast("int") + 1)
 
 
 def leaf_entries(variant: Column, text: Column | None = None) -> Column:
     """Array of (dotted path, JSON text) of an object variant, null for anything else.
 
     Arrays stay one leaf. Each round looks into the objects the round before found, and the
-    rounds are counted from the document's own ``text`` (rendered anew if it is not given),
-    so objects are followed however deep they lie.
+    rounds are bounded by the length of the document's own ``text`` (rendered anew if it is not
+    given), so objects are followed however deep they lie; rounds without any left do nothing.
     """
 
-    def round_(state: Column, _: Column) -> Column:
+    def look(state: Column) -> Column:
         return let(
             F.flatten(F.transform(state["open"], _expand)),
             lambda found: F.struct(
@@ -69,6 +68,9 @@ def leaf_entries(variant: Column, text: Column | None = None) -> Column:
             ),
         )
 
+    def round_(state: Column, _: Column) -> Column:
+        return F.when(F.size(state["open"]) == 0, state).otherwise(look(state))
+
     def walk(inner: Column) -> Column:
         root = F.struct(F.lit("").alias("key"), variant.alias("value"), inner.alias("inner"))
         start = F.struct(

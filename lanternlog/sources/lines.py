@@ -13,7 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from lanternlog.functions.fields import flatten, drop_paths
+from lanternlog.functions.fields import drop_paths, flatten, let
 from lanternlog.functions.projections import safe_base
 from lanternlog.functions.text import blank, rstrip, strip
 from lanternlog.model import PROMOTED, SHIP_CONSTANTS, SHIP_DROP, TS, column_of
@@ -169,13 +169,17 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     ``text`` for the rest; only ``event`` lines have ``fields``.
     """
     text = F.col(column)
-    body = F.try_parse_json(text)
-    # The status comes from the text, so filtering on it does not flatten twice.
-    status = (
-        F.when(body.isNull(), "text").when(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), "event").otherwise("scalar")
-    )
-    parsed = lines.where(~blank(text)).withColumn("status", status)
-    return parsed.withColumn("fields", F.when(F.col("status") == "event", flatten(body, text)))
+
+    def judged(body: Column) -> Column:
+        kind = F.when(body.isNull(), "text").when(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), "event").otherwise("scalar")
+        return F.struct(kind.alias("status"), body.alias("_body"))
+
+    # A line is parsed once, in a generator: filters on what comes out of it stay above it, and only the rows
+    # that are left have their leaves looked up.
+    one = F.array(let(F.try_parse_json(text), judged))
+    others = [F.col(f"`{c}`") for c in lines.columns if c not in ("status", "fields")]
+    parsed = lines.select(*others, F.inline(F.when(~blank(text), one)))
+    return parsed.withColumn("fields", F.when(F.col("status") == "event", flatten(F.col("_body"), text))).drop("_body")
 
 
 def with_constants(df: DataFrame, constants: dict[str, Any] | None = None) -> DataFrame:
