@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lanternlog.functions.fields import to_leaf
 from lanternlog.model import TS
 from lanternlog.operators.parse import Pipelines, date_value, parse_cef
-from lanternlog.session import work_dir
+from lanternlog.session import spread, work_dir
 from lanternlog.sources import lines as L
 from lanternlog.sources.store import Store
 
@@ -127,7 +127,7 @@ def ingest_files(
     plain = L.read_log_files(spark, path).withColumn("error", F.lit(None).cast("string"))
     read = plain.unionByName(archives)
     read.write.parquet(f"{staged}/lines")
-    read = spark.read.schema(read.schema).parquet(f"{staged}/lines")
+    read = spread(spark.read.schema(read.schema).parquet(f"{staged}/lines"))
     lines, damaged = read.where("error is null").drop("error"), read.where("error is not null").select("file", F.col("error").alias("damage"))
     docs, plan = documents_of_files(lines, options, stamp, pipelines)
     docs.write.parquet(f"{staged}/docs")

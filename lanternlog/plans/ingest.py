@@ -427,7 +427,7 @@ def ingest_folder(t: Tables) -> DataFrame:
     # A folder of plain and packed files of many lines each: all datasets in one write and one commit.
     folder = work_dir(t.spark, "files")
     # a file is routed by its first line: lines that are no JSON at all are left out, scalars and blank ones stay
-    lines = event_lines(t.table("events")).where("event_id % 50 <> 0").withColumn("value", F.replace("value", F.lit('"timestamp"'), F.lit('"@timestamp"')))
+    lines = event_lines(t.lines("events")).where("event_id % 50 <> 0").withColumn("value", F.replace("value", F.lit('"timestamp"'), F.lit('"@timestamp"')))
     lines.where("event_id % 3 <> 0").select("value").repartition(12).write.text(f"{folder}/in/plain")
     lines.where("event_id % 3 = 0").select("value").repartition(6).write.option("compression", "gzip").text(f"{folder}/in/gz")
     store = Store(t.spark, f"{folder}/store")
