@@ -268,7 +268,7 @@ def store_overview(t: Tables) -> DataFrame:
 
 def _chunks(t: Tables, n: int) -> list[DataFrame]:
     """Event lines in n batches by event, none empty."""
-    lines = event_lines(t.table("events"))
+    lines = event_lines(t.lines("events"))
     return [lines.where(F.col("event_id") % n == k).select("value") for k in range(n)]
 
 
