@@ -98,6 +98,66 @@ def test_context_tree_equals_the_plain_recursion(spark):
     assert math.isclose(untrained["score"], 24 * math.log10(0.5)) and untrained["train_tokens"] == 0
 
 
+class RepeatedTree(PlainTree):
+    """The plain recursion over texts of which each is learnt from a number of times."""
+
+    def __init__(self, texts):
+        one = PlainTree([])
+        for text, times in texts.items():
+            for path, bit in self.decisions(text):
+                for k, node in enumerate(path):
+                    one.n[node][bit] += times
+                    if k:
+                        one.children[path[k - 1]].add(node)
+        self.n, self.children, self.log = one.n, one.children, {}
+        for node in sorted(self.n, key=lambda node: -len(node[0])):
+            self.log[node] = self.weighted(node, *self.n[node], sum(self.log[c] for c in self.children[node]))
+
+
+def test_context_tree_keeps_rare_nodes_of_a_larger_corpus(spark):
+    """What occurs once among millions of bytes has nodes of its own."""
+    rng = random.Random(5)
+    held = lambda i: crc32(str(i).encode()) % 7 == 2
+    common, rare = prose(rng, 500), ["quixotic zebu", "zebu, quixotic", "日本 zebu"]
+    train = [i for i in range(2000) if not held(i)]
+    test = [i for i in range(2000) if held(i)]
+    rows = [(i, common) for i in train[:1200]] + list(zip(train[1200:], rare)) + list(zip(test, ["quixotic zebu", "zebu zebu", "other"]))
+    assert 1200 * len(common) > 2 << 20
+    plain = RepeatedTree({common: 1200} | dict.fromkeys(rare, 1))
+    scores = {r["doc_id"]: r["score"] for r in ctw.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(scores) == len(rows)
+    for i, text in rows[1199:]:
+        assert math.isclose(scores[i], plain.log10(text), rel_tol=1e-7), text  # logs of the plain recursion are near 1e7
+
+
+@pytest.mark.parametrize("part, head", [(40, 21), (1, 2), (1 << 17, 0), (7, 5)])
+def test_context_tree_in_ranges_and_with_joined_prices(spark, monkeypatch, part, head):
+    """However the grams are cut, and however few of them are broadcast, the scores are those of the plain recursion."""
+    monkeypatch.setattr(ctw, "PART", part)
+    monkeypatch.setattr(ctw, "HEAD", head)
+    monkeypatch.setattr(ctw, "GRAM_HEAD", head)
+    rng = random.Random(6)
+    held = lambda i: i is not None and crc32(str(i).encode()) % 7 == 2
+    few = 12 if part == 1 else 150
+    rows = [(k, prose(rng, rng.randint(0, 3 if part == 1 else 12))) for k in range(few)] + [(None, "abc"), (3, None), (3, "abcabcabcabc"), (9000, "unseen Ω unseen Ω")]
+    plain = PlainTree([(t or "") for i, t in rows if not held(i)])
+    known = [w for i, t in rows if not held(i) for w in (t or "").lower().split()]
+    got = ctw.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    key = lambda x: (str(x[0]), round(x[1], 6))
+    want = []
+    for i, t in rows:
+        words = (t or "").lower().split()
+        ends = sum(not held(i) for i, _ in rows)
+        size = len(known) + ends + len(set(known)) + 2  # the end is a token, too
+        base = sum(math.log10((known.count(w) + 1) / size) for w in words) + math.log10((ends + 1) / size)
+        want.append((i, plain.log10(t or ""), base, sum(w in set(known) for w in words) + 1))
+    have = [(r["doc_id"], r["score"], r["base_score"], r["n_known"]) for r in got]
+    assert len(have) == len(want)
+    for a, b in zip(sorted(have, key=key), sorted(want, key=key)):
+        assert a[0] == b[0] and a[3] == b[3]
+        assert math.isclose(a[1], b[1], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(a[2], b[2], rel_tol=1e-9, abs_tol=1e-9), (a, b)
+
+
 # Quality -----------------------------------------------------------------------------------
 
 
