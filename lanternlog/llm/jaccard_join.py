@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lanternlog.llm import bytes as B
 from lanternlog.llm.bloom import bits_of, filter_of, within
 from lanternlog.llm.components import components
-from lanternlog.llm.tables import stored, tidy
+from lanternlog.llm.tables import done, stored, tidy
 
 WORDS, PERCENT = 4, 85
 FREQUENT, OFTEN = 1 << 18, 16
@@ -202,9 +202,8 @@ def _direct(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     other = side.select("shingle", F.col("id").alias("b"), F.col("n").alias("m"))
     pairs = side.join(other, "shingle").where((F.col("id") < F.col("b")) & _may_link("n", "m", percent))
     pairs = pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
-    facts = points.select("id", "n", "crowded", "last", F.size("rare").alias("kept"))
     for name in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("id").alias(name), F.struct("n", "crowded", "last", "kept").alias(f"of_{name}")), name)
+        pairs = pairs.join(points.select(F.col("id").alias(name), F.struct("n", "crowded", "last", "kept").alias(f"of_{name}")), name)
     first = F.when(F.col("of_a.last") <= F.col("of_b.last"), F.col("of_a")).otherwise(F.col("of_b"))
     both = F.col("of_a.n") + F.col("of_b.n")
     shared = F.col("shared") + F.least("of_a.crowded", "of_b.crowded")
@@ -213,15 +212,21 @@ def _direct(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, points: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: linked pairs of ``points`` (id, n, rare, alone, last) that connect all that is connected."""
+    """a, b: linked pairs of ``points`` (id, n, rare, alone, last) that connect all that is connected.
+
+    Written tables are removed as soon as they are read for the last time, ``points`` among them.
+    """
     members = points.select("id", "n", "alone", F.explode("rare").alias("shingle"))
     sizes = stored(members.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = stored(members.join(sizes, "shingle"), "regions")
+    facts = stored(points.select("id", "n", "last", F.size("rare").alias("kept")), "facts")
+    done(points, sizes)
     crowd = members.where(F.col("size") > SMALL)
     in_crowds = crowd.groupBy("id").agg(F.count("*").alias("crowded"))
-    known = points.join(in_crowds, "id", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
+    known = facts.join(in_crowds, "id", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
     direct = stored(_direct(members.where(F.col("size") <= SMALL), known, percent), "pairs")
     region = stored(_with_pivots(crowd), "crowds")
+    done(members, facts)
     wanted = direct.select(F.col("a").alias("id")).union(direct.select("b")).union(region.select("id")).distinct()
     sets = stored(_whole_sets(docs, wanted, words), "sets")
     near = _measured(direct, sets, percent).where("linked").select("a", "b")
@@ -392,12 +397,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     classes = stored(signed.where("n > 0 and doc_id is not null").groupBy(*identity).agg(F.min("doc_id").alias("id")), "classes")
     points = signed.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     points = stored(points.select(F.col("doc_id").alias("id"), "n", "rare", "alone", "last").where("n > 0"), "points")
+    rows = stored(signed.select("doc_id", *identity), "rows")
+    done(signed)
     label = components(links(docs, points, words, percent))
     own = stored(
         classes.join(label, F.col("id") == F.col("node"), "left").select(*identity, F.coalesce("component", "id").alias("component")),
         "class-components",
     )
-    out = signed.select("doc_id", *identity).join(own, identity, "left")
+    out = rows.join(own, identity, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
