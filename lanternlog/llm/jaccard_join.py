@@ -24,7 +24,7 @@ the pivot, and regions of one pivot become one. In each
 
 Links between different sets come out as pairs that connect all that is connected, with their exact
 similarity; components are taken over them. Frequencies only order the shingles: what tasks count twice
-or more is summed and the ``FREQUENT`` most frequent are broadcast.
+or more is summed and the ``FREQUENT`` most frequent are broadcast, and so are those that turn out to crowd regions.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own component; a
 null id takes no part and has a null component; repeated rows are copies; equal sets are linked whatever
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternlog.llm import bytes as B
-from lanternlog.llm.bloom import bits_of, filter_of, within
+from lanternlog.llm.bloom import bits_of, filter_of, test_of, within
 from lanternlog.llm.components import components
 from lanternlog.llm.tables import done, stored, tidy
 
@@ -80,7 +80,11 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield np.concatenate(own) if own else flat, np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
 
 
-def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+#: Shingles in order and how often they were seen.
+Often = tuple[np.ndarray, np.ndarray]
+
+
+def frequent(docs: DataFrame, words: int) -> Often:
     """Shingles that tasks saw often, in order, and how often."""
 
     def seen_often(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -109,17 +113,20 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows.column("n").to_numpy()[order]
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, percent: int, often: Often, bits: np.ndarray | None = None) -> DataFrame:
     """doc_id, n (set size), two halves of the set's identity, its rarest shingles and how many are not frequent.
 
-    ``last`` places the last of the rarest shingles in the order of all.
+    ``last`` places the last of the rarest shingles in the order of all. With ``bits``, only of the ids that this
+    filter lets through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
+    shared = docs.sparkSession.sparkContext.broadcast((*often, bits))
 
     @B.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = shared.value
+        often, times, bits = shared.value
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(within(bits, batch.column(2).to_numpy())))
             sizes, one, two, rare, alone, last = [], [], [], [], [], []
             for flat, begin in _sets(batch.column(1), words):
                 k = np.minimum(np.searchsorted(often, flat), max(len(often) - 1, 0))
@@ -148,7 +155,10 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names=["doc_id", "n", "one", "two", "rare", "alone", "last"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if bits is not None:
+        rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    return rows.mapInArrow(
         run, "doc_id bigint, n bigint, one bigint, two bigint, rare array<bigint>, alone bigint, last struct<n:bigint,shingle:bigint>"
     )
 
@@ -211,13 +221,66 @@ def _direct(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.where(first["kept"] - shared <= first["n"] - needed).select("a", "b")
 
 
-def links(docs: DataFrame, points: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _points(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n, rare, alone, last of one row of each class."""
+    rows = signed.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.select(F.col("doc_id").alias("id"), "n", "rare", "alone", "last").where("n > 0")
+
+
+def _sizes(points: DataFrame) -> DataFrame:
+    """How many points have a shingle among their rarest; only of those that two have."""
+    members = points.select(F.explode("rare").alias("shingle"))
+    return stored(members.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+
+
+def _holding(points: DataFrame, shingles: np.ndarray) -> DataFrame:
+    """id of the points that have one of the shingles (in order) among their rarest."""
+    shared = points.sparkSession.sparkContext.broadcast(shingles)
+
+    @B.released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, at = lists.flatten().to_numpy(), np.asarray(lists.offsets)
+            k = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            seen = np.concatenate([[0], np.cumsum(some[k] == flat)])
+            at = at - at[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(seen[at[1:]] > seen[at[:-1]]))], names=["id"])
+
+    return points.select("id", "rare").mapInArrow(run, "id bigint")
+
+
+def _reordered(docs: DataFrame, points: DataFrame, classes: DataFrame, often: Often, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Points and sizes of their regions, once the shingles of crowded regions count as frequent too.
+
+    Tasks see little of a large input: what is rare in each and frequent in all would crowd regions with sets that
+    have nothing else in common. Such shingles now come after all that are rare. Points without one among their rarest
+    keep those: taking others out of the rare ones changes nothing before them. The others are read again.
+    """
+    sizes = _sizes(points)
+    found = sizes.where(F.col("size") > SMALL).orderBy(F.desc("size"), "shingle").limit(FREQUENT).toArrow()
+    keys, times = found.column("shingle").to_numpy(), found.column("size").to_numpy()
+    new = ~np.isin(keys, often[0])
+    if not new.any():
+        return points, sizes
+    touched = stored(_holding(points, np.sort(keys[new])), "touched")
+    bits = bits_of(touched.select(F.xxhash64("id").alias("h")), "h")
+    keys, times = np.concatenate([often[0], keys[new]]), np.concatenate([often[1], times[new]])
+    order = np.argsort(keys)
+    again = _points(signatures(docs, words, percent, (keys[order], times[order]), bits), classes)
+    same = points.where(~test_of(points.sparkSession, bits)(F.xxhash64("id")))
+    changed = stored(same.unionByName(again), "points")
+    done(points, sizes, touched)
+    return changed, _sizes(changed)
+
+
+def links(docs: DataFrame, points: DataFrame, sizes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b: linked pairs of ``points`` (id, n, rare, alone, last) that connect all that is connected.
 
-    Written tables are removed as soon as they are read for the last time, ``points`` among them.
+    Written tables are removed as soon as they are read for the last time, ``points`` and ``sizes`` among them.
     """
     members = points.select("id", "n", "alone", F.explode("rare").alias("shingle"))
-    sizes = stored(members.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = stored(members.join(sizes, "shingle"), "regions")
     facts = stored(points.select("id", "n", "last", F.size("rare").alias("kept")), "facts")
     done(points, sizes)
@@ -392,14 +455,15 @@ class _Chunk:
 @tidy
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    signed = stored(signatures(docs, words, percent), "signatures")
+    often = frequent(docs, words)
+    signed = stored(signatures(docs, words, percent, often), "signatures")
     identity = ["one", "two", "n"]
     classes = stored(signed.where("n > 0 and doc_id is not null").groupBy(*identity).agg(F.min("doc_id").alias("id")), "classes")
-    points = signed.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    points = stored(points.select(F.col("doc_id").alias("id"), "n", "rare", "alone", "last").where("n > 0"), "points")
+    points = stored(_points(signed, classes), "points")
     rows = stored(signed.select("doc_id", *identity), "rows")
     done(signed)
-    label = components(links(docs, points, words, percent))
+    points, sizes = _reordered(docs, points, classes, often, words, percent)
+    label = components(links(docs, points, sizes, words, percent))
     own = stored(
         classes.join(label, F.col("id") == F.col("node"), "left").select(*identity, F.coalesce("component", "id").alias("component")),
         "class-components",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternlog import session
 from lanternlog.llm import jaccard_join, tables
+from tests.llm.test_brute_force import components
 
 
 def shuffle_files(spark):
@@ -54,3 +55,31 @@ def test_tables_go_when_they_are_read_for_the_last_time(spark, monkeypatch):
     assert "signatures" in there["points"] and "points" in there["sizes"] and "regions" in there["pairs"]
     assert not {"signatures", "points", "sizes", "regions"} & there["found"]
     assert sorted(r["component_id"] for r in got.collect()) == [0] * 60 + list(range(60, 100))
+
+
+def test_common_shingles_that_no_task_saw_often_crowd_no_regions(spark, monkeypatch):
+    """Unrelated texts with the same ten phrases, and near copies among them, as if tasks had seen too little of all."""
+    monkeypatch.setattr(jaccard_join, "OFTEN", 1 << 40)
+    rng = random.Random(21)
+    phrases = [[f"p{k}.{j}" for j in range(4)] for k in range(10)]
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [[w for phrase in phrases for w in [*phrase, *fresh(rng.randint(4, 6))]] for _ in range(150)]
+    for k in range(0, 60, 2):
+        texts.append([*texts[k][:-1], "other"])
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rows = {}
+
+    def watched(df, name, write=tables.stored):
+        out = write(df, name)
+        if name == "crowds":
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    table = spark.createDataFrame([*docs, docs[3], docs[160], (None, docs[0][1]), (500, None)], "doc_id bigint, text string").repartition(3)
+    found = [tuple(r) for r in jaccard_join.join(table).select("doc_id", "n_shingles", "component_id").collect()]
+    linked = {d: (n, c) for d, n, c in components(docs, 4, 85)}
+    want = [(d, *linked[d]) for d, _ in [*docs, docs[3], docs[160]]] + [(None, linked[0][0], None), (500, 0, 500)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert len({c for _, c in linked.values()}) == 150
+    assert rows["crowds"] < len(docs) / 4
